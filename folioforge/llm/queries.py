@@ -24,15 +24,40 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicate_groups
+
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op4_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import store_and_read_tokens
 
     return store_and_read_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts imitate the template's marks."""
+    from .chat import conversation_digests, format_conversations
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{odd}' AS text")
+    return conversation_digests(format_conversations(turns.unionByName(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_sstable_tokens": op4_sstable_tokens,
+    "op8_ring_sharding": op8_ring_sharding,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: Oracles in DuckDB SQL, for the queries that SQL can express.
