@@ -30,18 +30,50 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminations
+
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import store_and_read_tokens
 
     return store_and_read_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge_quality
+
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_spans
+
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
     return shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is scored by one model; the threshold is the contract's 0.3."""
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts imitate the template's marks."""
     from .chat import conversation_digests, format_conversations
@@ -55,8 +87,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sstable_tokens": op4_sstable_tokens,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op8_ring_sharding": op8_ring_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
 }
 

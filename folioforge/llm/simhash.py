@@ -72,8 +72,8 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, block_words: int | None = None, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp array<long>, and with ``block_words`` also bp array<long>) per document.
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, block_words: int | None = None, distinct: bool = False, text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp array<long>, and if asked bp array<long> and text_hash) per document.
 
     Null and empty texts have the fingerprint zero, which links like any other.
     """
@@ -89,9 +89,13 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, block_words: i
             columns = {"doc_id": batch.column(0), "fp": pa.array(main, pa.list_(pa.int64()))}
             if block_words:
                 columns["bp"] = pa.array(other, pa.list_(pa.int64()))
+            if text_hash:
+                columns["text_hash"] = batch.column(2)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp array<long>" + (", bp array<long>" if block_words else ""))
+    slim = id_and_text(docs)
+    slim = slim.withColumn("text_hash", F.xxhash64("text")) if text_hash else slim
+    return slim.mapInArrow(run, "doc_id long, fp array<long>" + (", bp array<long>" if block_words else "") + (", text_hash long" if text_hash else ""))
 
 
 def _part_masks(bits: list[int], parts: int) -> list[int]:
@@ -249,25 +253,40 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = 3, bloc
 
 
 def _named_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, first): the smallest document of each node's component."""
+    """(node, component, first): first is the smallest document of each node's component."""
     parts = connected_components(edges)
     known = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = known.groupBy("component").agg(F.min("first").alias("first"))
-    return known.select("node", "component").join(firsts, "component").select("node", "first")
+    return known.select("node", "component").join(firsts, "component").select("node", "component", "first")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 45, block_words: int = 2, tables: int = 50, bits: int = 24) -> DataFrame:
-    """(doc_id, group, first) for texts whose ``words``-word shingle sets are 0.8 alike or more.
+    """(doc_id, text_hash, component, first) for texts whose shingle sets are 0.8 alike or more.
 
     Two texts whose shingle sets have Jaccard similarity J have SimHash bits that differ
     with probability acos(2J / (1 + J)) / pi: 0.151 at 0.8, so 39 of 256 bits with a
     standard deviation of 5.7, and 59 at 0.6.  No pigeonhole of such a radius is selective,
     so blocks come from a second fingerprint over ``block_words``-word shingles, of which
     far fewer change when a word does, and several random choices of its bits.
-    ``group`` is the component's node; ``first`` its smallest non-null doc_id.
+    ``first`` is a component's smallest non-null doc_id.
     """
-    rows = materialize(fingerprints(docs, words, lanes, block_words, distinct=True), "fingerprints")
-    named = rows.withColumn("node", F.xxhash64("fp"))
+    rows = fingerprints(docs, words, lanes, block_words, distinct=True, text_hash=True)
+    named = materialize(rows, "fingerprints").withColumn("node", F.xxhash64("fp"))
     nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min_by("bp", "fp").alias("bp")), "nodes")
     groups = _named_groups(nodes, sampled_edges(nodes, radius, tables, bits))
-    return named.select("doc_id", "node").join(groups, "node")
+    return named.select("doc_id", "text_hash", "node").join(groups, "node").drop("node")
+
+
+def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """One row of every group of near-duplicate texts, with all columns of ``docs``.
+
+    It is the row with the smallest doc_id (null is the largest), then the smallest text
+    hash; of rows alike in both, any one.  Empty and null texts are one group.
+    """
+    rows = similar_groups(docs, **settings)
+    chosen = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_ff_id"), F.col("k.text_hash").alias("_ff_hash"))
+    marked = docs.withColumn("_ff_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_ff_id", F.col("doc_id").cast("long"))
+    chosen = chosen.select(F.col("_ff_id").alias("_ff_id2"), F.col("_ff_hash").alias("_ff_hash2"))
+    kept = marked.join(chosen, F.col("_ff_id").eqNullSafe(F.col("_ff_id2")) & (F.col("_ff_hash") == F.col("_ff_hash2")), "left_semi")
+    once = Window.partitionBy("_ff_id", "_ff_hash").orderBy("_ff_hash")
+    return kept.withColumn("_ff_nth", F.row_number().over(once)).where("_ff_nth = 1").select(*docs.columns)
