@@ -23,7 +23,7 @@ EVAL_FORM = "item_id string, query string, method_code string, answer string, co
 
 def text_documents(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*.{md,txt}") -> DataFrame:
     """Whole text files as documents, named by their stem."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source_path"))
+    raw = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source_path"))
     name = F.regexp_extract("source_path", r"([^/]+?)\.[^./]+$", 1)
     return raw.select(name.alias("doc_id"), name.alias("title"), "content", "source_path", F.lower(F.regexp_extract("source_path", r"\.([^./]+)$", 1)).alias("doc_type"), F.create_map().cast("map<string,string>").alias("metadata"), F.array("content").alias("pages"))
 
