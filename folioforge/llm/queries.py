@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .oracles import chat_oracle, quality_oracle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +48,8 @@ def op4_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_quality
 
-    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    judged = judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.withColumn("badness", F.round("badness", 6))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +102,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Oracles in DuckDB SQL, for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_oracle(), "op10_chat_formatting": chat_oracle()}
