@@ -103,12 +103,13 @@ def write_json_lines(rows: DataFrame, path: str, by: list[str] | None = None, mo
 def append_new(rows: DataFrame, key: str, path: str) -> DataFrame:
     """Append the rows whose key isn't yet below ``path``; returns what was new."""
     from folioforge.operators.datasets import resume
+    from folioforge.storage import materialize
 
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    new = resume(rows, key, spark.read.schema(rows.schema).json(path) if there else None)
+    new = materialize(resume(rows, key, spark.read.schema(rows.schema).json(path) if there else None), "new-rows")
     write_json_lines(new, path, mode="append")
     return new
 
