@@ -147,9 +147,10 @@ def hierarchical_chunks(docs: DataFrame, outlines: DataFrame, least: int = 20, f
     """
     from folioforge.functions.text import first_json
 
-    asked = docs.select("doc_id", "text").withColumn("nth", F.row_number().over(Window.orderBy("doc_id"))) if budget else docs.select("doc_id", "text", F.lit(1).alias("nth"))
+    asked = docs.select("doc_id", "text")
+    first = asked.select("doc_id").orderBy("doc_id").limit(budget)  # the budget is the feature: so many model calls
     spans = F.from_json(first_json(F.col("answer"), "array"), "array<struct<level: int, start: int, end: int>>")
-    found = asked.where(F.col("nth") <= budget).join(outlines.select("doc_id", spans.alias("spans")), "doc_id")
+    found = asked.join(F.broadcast(first), "doc_id", "left_semi").join(outlines.select("doc_id", spans.alias("spans")), "doc_id")
     rows = found.select("doc_id", "text", F.posexplode("spans").alias("ord", "s")).where(F.col("s.level").isin(1, 2))
     start, end = F.greatest(F.lit(0), F.least(F.col("s.start"), F.length("text"))), F.greatest(F.lit(0), F.least(F.col("s.end"), F.length("text")))
     rows = rows.select("doc_id", "ord", F.col("s.level").alias("layer"), start.alias("start_pos"), end.alias("end_pos"), "text").where(F.col("end_pos") > F.col("start_pos") + least)

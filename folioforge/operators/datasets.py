@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import normalize_answer, normalize_line, strip
 
 from .lexicon import UNIT_FACTORS
+from .ranking import global_rank
 
 #: Line shapes of a handbook's pages.
 CLAUSE = r"^(\d+(?:\.\d+)+)\s+([A-Z].{2,120})$"
@@ -208,8 +209,8 @@ def resume(rows: DataFrame, key: str, done: DataFrame | None) -> DataFrame:
 
 def prefix_fraction(rows: DataFrame, order: str, fraction: float) -> DataFrame:
     """The first round(fraction x n) rows, half to even, at least one."""
-    n = rows.count()
-    return rows.orderBy(order).limit(max(1, round(fraction * n)))
+    ranked = global_rank(rows, F.col(order), name="_n")
+    return ranked.where(F.col("_n") <= max(1, round(fraction * ranked.count()))).drop("_n")
 
 
 def candidate_records(sources: list[DataFrame], label: Column) -> tuple[DataFrame, DataFrame]:

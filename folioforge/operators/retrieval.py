@@ -19,6 +19,7 @@ from .lexicon import PROFILES, TAXONOMY, classify
 
 #: A query table goes to every executor; beyond this many rows it is joined by shuffle.
 BROADCAST_QUERIES = 50_000
+BROADCAST_TOKENS = 500_000
 
 
 def _small(queries: DataFrame) -> DataFrame:
@@ -59,10 +60,12 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int | None = 5, k1: float =
     fewer than ``k`` matches by chunks that score 0, in order.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    few = asked.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS  # reads the queries only
+    small = F.broadcast if few else (lambda t: t)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = index.df.join(_small(asked.select("token").distinct()), "token", "left_semi").crossJoin(F.broadcast(index.stats)).select("token", idf.alias("idf"), "avgdl")
+    terms = index.df.join(small(asked.select("token").distinct()), "token", "left_semi").crossJoin(F.broadcast(index.stats)).select("token", idf.alias("idf"), "avgdl")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = index.postings.join(_small(asked.join(terms, "token")), "token").select("query_id", "chunk_id", "ord", (F.col("qtf") * F.col("idf") * tf).alias("part"))
+    weighted = index.postings.join(small(asked.join(terms, "token")), "token").select("query_id", "chunk_id", "ord", (F.col("qtf") * F.col("idf") * tf).alias("part"))
     scored = weighted.groupBy("query_id", "chunk_id", "ord").agg(F.round(F.sum("part"), 9).alias("score"))
     if k is None:
         return scored

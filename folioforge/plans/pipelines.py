@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import tokens
 from folioforge.functions.vectors import hashed_bag
 from folioforge.operators import chunking, generation, metrics, retrieval
 from folioforge.operators import statistics as stats
+from folioforge.operators.ranking import global_rank
 from folioforge.storage import materialize
 
 Embed = Callable[[Column], Column]
@@ -194,9 +195,10 @@ def complete_cases(scores: DataFrame, methods: list[str]) -> DataFrame:
 
 def corpus_fractions(docs: DataFrame, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Each document once for every corpus fraction that has it, by rank of identifier."""
-    ranked = docs.withColumn("_n", F.row_number().over(Window.orderBy("doc_id"))).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
-    sizes = F.array(*[F.lit(float(f)) for f in fractions])
-    return ranked.withColumn("fraction", F.explode(sizes)).where(F.col("_n") <= F.greatest(F.lit(1), F.bround(F.col("fraction") * F.col("_all")))).drop("_n", "_all")
+    ranked = global_rank(docs, F.col("doc_id"), name="_n")
+    total = ranked.count()
+    sizes = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(max(1, round(f * total))).alias("most")) for f in fractions])
+    return ranked.withColumn("_f", F.explode(sizes)).where(F.col("_n") <= F.col("_f.most")).select(*docs.columns, "_f.fraction")
 
 
 def swept(pipeline: Pipeline, **changes) -> Pipeline:
