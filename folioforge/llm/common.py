@@ -1,61 +1,31 @@
-"""Shared pieces of the training-data operators: scratch tables and input shaping."""
+"""Shared pieces of the training-data operators: input shaping and state of workers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN_ROOTS: dict[str, str] = {}
+from folioforge.storage import materialize, scratch_path, shared_root
 
+__all__ = ["id_and_text", "materialize", "scratch_path", "shared_root", "worker_state"]
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` as the session has it.  Where the session has none
-    (single-machine tests) a temporary folder of this process is used and set as the
-    checkpoint folder.
-    """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOTS:
-        held = tempfile.TemporaryDirectory(prefix="folioforge-")
-        atexit.register(held.cleanup)
-        _OWN_ROOTS[app] = f"file://{held.name}"
-        spark.sparkContext.setCheckpointDir(_OWN_ROOTS[app])
-    return _OWN_ROOTS[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; it is removed when the driver ends."""
-    shared_root(spark)
-    path = f"{shared_root(spark)}/folioforge/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; nothing depends on this
-        pass
+T = TypeVar("T")
+_STATE: dict[object, object] = {}
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def worker_state(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks, made once: one thing at a time.
 
-    This cuts the lineage: a lost executor costs only the tasks that read it.
+    Workers live on from stage to stage; what an earlier operator kept goes when another
+    one's is made, so that memory doesn't add up over a pipeline.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]  # type: ignore[return-value]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, worker_state
 from .simhash import _widen, fingerprint
 
 WORD = re.compile(r"\w+")
@@ -150,15 +150,9 @@ def _item_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tupl
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
-_INDEXES: dict[int, ItemIndex] = {}
-
-
 def _index(shared, settings: Settings) -> ItemIndex:
     """The worker's index of a broadcast block, made once."""
-    if shared.id not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[shared.id] = ItemIndex(shared.items, settings)
-    return _INDEXES[shared.id]
+    return worker_state(("items", shared.id, settings), lambda: ItemIndex(shared.items, settings))
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, worker_state
 
 LETTERS = 2048  # code points below 1024 have a vector of their own, the rest share 1024
 
@@ -94,16 +94,11 @@ class _Bound:
         return weights[known] @ self.table[rows[known]] + weights[~known] @ self.make(keys[~known])
 
 
-_BOUND: dict[Space, _Bound] = {}
-
-
 def bundle(keys: np.ndarray, counts: np.ndarray, space: Space) -> np.ndarray:
     """Sum of the n-grams' vectors, each as often as it occurs."""
-    if space not in _BOUND:
-        _BOUND[space] = _Bound(space)
-    total = np.zeros(space.dimensions)
+    bound, total = worker_state(space, lambda: _Bound(space)), np.zeros(space.dimensions)
     for at in range(0, len(keys), 4096):
-        total += _BOUND[space].sum(keys[at : at + 4096], counts[at : at + 4096])
+        total += bound.sum(keys[at : at + 4096], counts[at : at + 4096])
     return total
 
 

@@ -15,6 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import worker_state
+
 #: A blank or line break beside other white space: such a text is not cut at all.
 _CROWDED = re.compile(r"[ \n]\s|\s[ \n]")
 
@@ -27,7 +29,7 @@ class PieceEncoder:
     pieces per worker; pieces beyond it are encoded each time, with the same ids.
     """
 
-    def __init__(self, path: str, keeps_blank: bool, table_size: int = 1_000_000, longest_kept: int = 48):
+    def __init__(self, path: str, keeps_blank: bool, table_size: int = 600_000, longest_kept: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -85,18 +87,12 @@ class PieceEncoder:
         return [b"".join([kept[p] if p in kept else fresh[p] for p in c]) for c in cuts]
 
 
-_ENCODERS: dict[tuple, PieceEncoder] = {}
-
-
-def encoder(path: str, keeps_blank: bool, table_size: int = 1_000_000) -> PieceEncoder:
+def encoder(path: str, keeps_blank: bool, table_size: int = 600_000) -> PieceEncoder:
     """The worker's encoder for a file; made once, so its table serves every task."""
-    key = (path, keeps_blank, table_size)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, keeps_blank, table_size)
-    return _ENCODERS[key]
+    return worker_state(("encoder", path, keeps_blank, table_size), lambda: PieceEncoder(path, keeps_blank, table_size))
 
 
-def batches_by_size(texts: list[str], most: int = 4_000_000) -> Iterable[tuple[int, int]]:
+def batches_by_size(texts: list[str], most: int = 1_500_000) -> Iterable[tuple[int, int]]:
     """Consecutive ranges of ``texts`` of about ``most`` characters."""
     start = held = 0
     for i, t in enumerate(texts):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, worker_state
 from .langid import held_out
 
 WORD = re.compile(r"\w+")
@@ -280,9 +280,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], settings)
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _broadcast(docs: DataFrame, model: Model | None):
     import uuid
 
@@ -292,10 +289,7 @@ def _broadcast(docs: DataFrame, model: Model | None):
 def _model(shared) -> Model | None:
     """The worker's own copy, so that its kept words serve every task."""
     name, model = shared.value
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = model
-    return _MODELS[name]
+    return worker_state(("toxicity", name), lambda: model)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
