@@ -9,8 +9,8 @@ each part's table lists the items under all values that near.  For what is found
 exact similarity of the windows' and items' shingles, weighted by their counts (shared
 weight over joint weight), decides against ``similarity``.
 
-A window must share enough shingles with the items to reach that similarity at all: of m
-shingles at least 2 s m / (1 + s).  Windows that don't are not fingerprinted; this drops
+A window must share enough shingles with items of its size to reach that similarity at
+all: of m shingles at least 2 s m / (1 + s).  Windows that don't are not fingerprinted; this drops
 no match.  Items travel to the executors in blocks of bounded size, one pass over the
 texts for each block, however large the benchmark is.
 """
@@ -21,7 +21,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ class ItemIndex:
         self.s = settings
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, int, Counter]] = []  # item_id, words, shingle counts
-        by_size: dict[int, list[int]] = defaultdict(list)
+        sizes_of: dict[int, set[int]] = defaultdict(set)
         grams: dict[int, set[int]] = defaultdict(set)
         prints = []
         for item_id, text in items:
@@ -59,11 +59,12 @@ class ItemIndex:
                 continue  # an item without words matches nothing
             k = min(settings.words, len(ids))
             hashes = self._hashes(ids, k)
-            by_size[len(ids)].append(len(self.items))
             grams[k].update(hashes.tolist())
+            for value in hashes.tolist():
+                sizes_of[value].add(len(ids))
             self.items.append((item_id, len(ids), Counter(hashes.tolist())))
             prints.append(fingerprint(_widen(hashes, 1))[0])
-        self.sizes = sorted(by_size)
+        self.sizes_of = {value: tuple(sizes) for value, sizes in sizes_of.items()}
         self.grams = {k: np.array(sorted(v), np.uint64) for k, v in grams.items()}
         self.prints = np.array(prints, np.uint64)
         self.size_of = np.array([n for _, n, _ in self.items], np.int64)
@@ -85,12 +86,17 @@ class ItemIndex:
         n = len(ids) - k + 1
         if n < 1:
             return np.zeros(0, np.uint64)
-        out, known = np.zeros(n, np.uint64), np.ones(n, bool)
+        known = ids > 0
+        whole = known[:n].copy()
+        for j in range(1, k):
+            whole &= known[j : j + n]
+        at = np.flatnonzero(whole)  # few windows have only words that some item has
+        value = np.zeros(len(at), np.uint64)
         for j in range(k):
-            part = ids[j : j + n]
-            out = _widen(out * np.uint64(31) + part.astype(np.uint64), 2)
-            known &= part > 0
-        return np.where(known, out, np.uint64(0))
+            value = _widen(value * np.uint64(31) + ids[at + j].astype(np.uint64), 2)
+        out = np.zeros(n, np.uint64)
+        out[at] = value
+        return out
 
     def near(self, value: int) -> list[int]:
         """Items whose fingerprint is within the radius of ``value``."""
@@ -107,39 +113,41 @@ class ItemIndex:
         """The best similarity of each item that some window of ``text`` matches."""
         get = self.vocabulary.get
         words = WORD.findall(text.lower())
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
         best: dict[int, float] = {}
-        per_k: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        share = 2 * self.s.similarity / (1 + self.s.similarity)
         for k, known in self.grams.items():
             hashes = self._hashes(ids, k)
-            at = np.searchsorted(known, hashes)
-            hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes) & (hashes != 0)
-            if hit.any():
-                per_k[k] = hashes, np.concatenate([[0], np.cumsum(hit)])
-        if not per_k:
-            return best
-        share = 2 * self.s.similarity / (1 + self.s.similarity)
-        for size in self.sizes:
-            k = min(self.s.words, size)
-            if k not in per_k or size > len(ids):
-                continue
-            hashes, seen = per_k[k]
-            m = size - k + 1
-            starts = np.flatnonzero(seen[m:] - seen[:-m] >= share * m - 1e-9)
-            for start in starts.tolist():
-                window = hashes[start : start + m]
-                candidates = [i for i in self.near(int(fingerprint(_widen(window, 1))[0])) if self.size_of[i] == size]
-                if not candidates:
-                    continue
-                counts = Counter(window.tolist())
-                for i in candidates:
-                    item_id, _, wanted = self.items[i]
-                    shared = sum(min(c, wanted.get(g, 0)) for g, c in counts.items())
-                    value = shared / (2 * m - shared)
-                    if value >= self.s.similarity and value > best.get(item_id, 0):
-                        best[item_id] = value
+            some = np.flatnonzero(hashes)
+            found = known[np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)] == hashes[some]
+            places: dict[int, list[int]] = defaultdict(list)  # by item size, where a shingle of such an item stands
+            for place, value in zip(some[found].tolist(), hashes[some[found]].tolist(), strict=True):
+                for size in self.sizes_of[value]:
+                    places[size].append(place)
+            for size, hits in places.items():
+                m = size - k + 1
+                if len(hits) >= share * m - 1e-9 and size <= len(ids):
+                    seen = np.zeros(len(hashes) + 1, np.int64)
+                    seen[np.array(hits) + 1] = 1
+                    seen = np.cumsum(seen)
+                    self._verify(hashes, size, m, np.flatnonzero(seen[m:] - seen[:-m] >= share * m - 1e-9), best)
         return best
 
+    def _verify(self, hashes: np.ndarray, size: int, m: int, starts: np.ndarray, best: dict[int, float]) -> None:
+        """Fingerprint the windows at ``starts``, look their items up and compare exactly."""
+        for start in starts.tolist():
+            window = hashes[start : start + m]
+            candidates = [i for i in self.near(int(fingerprint(_widen(window, 1))[0])) if self.size_of[i] == size]
+            if not candidates:
+                continue
+            counts = Counter(window.tolist())
+            for i in candidates:
+                item_id, _, wanted = self.items[i]
+                shared = sum(min(c, wanted.get(g, 0)) for g, c in counts.items())
+                value = shared / (2 * m - shared)
+                if value >= self.s.similarity and value > best.get(item_id, 0):
+                    best[item_id] = value
+
 
 def _item_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int, str]]]:
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
