@@ -261,7 +261,9 @@ def scenarios(snippets: DataFrame, count: int = 30, per: int = 3, seed: str = "7
     kinds = snippets.select("category").distinct()
     ids = spark.range(count).select(F.col("id").cast("string").alias("scenario"))
     pick = kinds.crossJoin(F.broadcast(ids)).withColumn("_n", F.row_number().over(Window.partitionBy("scenario").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "scenario", "category").cast("binary"))))).where(F.col("_n") <= per)
-    met = pick.join(snippets, "category").withColumn("_s", F.row_number().over(Window.partitionBy("scenario", "category").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "scenario", "source_id").cast("binary"))))).where("_s = 1")
+    # the least hash per scenario and category, combined before the shuffle
+    by_hash = F.struct(F.md5(F.concat_ws(":", F.lit(seed), "scenario", "source_id").cast("binary")), "source_id")
+    met = snippets.join(F.broadcast(pick), "category").groupBy("scenario", "_n", "category").agg(F.min_by(F.struct("source_id", "text"), by_hash).alias("s")).select("scenario", "_n", "category", "s.*")
     out = met.groupBy("scenario").agg(F.sort_array(F.collect_list(F.struct("_n", "category", "source_id", "text"))).alias("parts"))
     out = out.select("scenario", truncate_at_sentence(F.array_join(F.transform("parts", lambda p: p["text"]), " "), cut).alias("query"), F.array_sort(F.transform("parts", lambda p: p["category"])).alias("gt_categories"), F.transform("parts", lambda p: F.struct(p["category"].alias("category"), p["source_id"].alias("source_id"))).alias("sources"))
     w = Window.partitionBy("gt_categories").orderBy(F.col("scenario").cast("int"))
