@@ -11,7 +11,8 @@ weight over joint weight), decides against ``similarity``.
 
 A window must share enough shingles with items of its size to reach that similarity at
 all: of m shingles at least 2 s m / (1 + s).  Windows that don't are not fingerprinted; this drops
-no match.  Items travel to the executors in blocks of bounded size, one pass over the
+no match.  Words that no item has are hashed themselves in what is fingerprinted, so each
+shingle has its own bits.  Items travel to the executors in blocks of bounded size, one pass over the
 texts for each block, however large the benchmark is.
 """
 
@@ -25,6 +26,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,14 @@ class ItemIndex:
         out[at] = value
         return out
 
+    @staticmethod
+    def _own_ids(words: list[str], ids: np.ndarray) -> np.ndarray:
+        """``ids`` with a hash of the word itself where it is unknown (64th bit set)."""
+        out = ids.astype(np.uint64)
+        for at in np.flatnonzero(ids == 0).tolist():
+            out[at] = xxhash.xxh64_intdigest(words[at].encode("utf-8", "surrogatepass")) | 1 << 63
+        return out
+
     def near(self, value: int) -> list[int]:
         """Items whose fingerprint is within the radius of ``value``."""
         mask = (1 << self.width) - 1
@@ -124,13 +134,17 @@ class ItemIndex:
             for place, value in zip(some[found].tolist(), hashes[some[found]].tolist(), strict=True):
                 for size in self.sizes_of[value]:
                     places[size].append(place)
+            whole = None  # with the unknown words' own hashes, once a window needs them
             for size, hits in places.items():
                 m = size - k + 1
                 if len(hits) >= share * m - 1e-9 and size <= len(ids):
                     seen = np.zeros(len(hashes) + 1, np.int64)
                     seen[np.array(hits) + 1] = 1
                     seen = np.cumsum(seen)
-                    self._verify(hashes, size, m, np.flatnonzero(seen[m:] - seen[:-m] >= share * m - 1e-9), best)
+                    starts = np.flatnonzero(seen[m:] - seen[:-m] >= share * m - 1e-9)
+                    if len(starts):
+                        whole = self._hashes(self._own_ids(words, ids), k) if whole is None else whole
+                        self._verify(whole, size, m, starts, best)
         return best
 
     def _verify(self, hashes: np.ndarray, size: int, m: int, starts: np.ndarray, best: dict[int, float]) -> None:

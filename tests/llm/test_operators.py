@@ -241,6 +241,31 @@ def test_contamination_matches_brute_force(spark, small):
     assert decontaminate.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def best_similarity(text, item):
+    """The highest similarity of an item-sized window by brute force."""
+    mine, wanted = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (re.findall(r"\w+", t.lower()) for t in (text, item)))
+    m, best = len(wanted), 0.0
+    for a in range(max(0, len(mine) - m + 1)):
+        window = mine[a : a + m]
+        shared = sum((Counter(window) & Counter(wanted)).values())
+        best = max(best, shared / (len(window) + m - shared))
+    return best
+
+
+@pytest.mark.parametrize(("size", "edits"), [(50, 1), (100, 2), (150, 3), (200, 4), (300, 4), (300, 6), (500, 10)])
+def test_items_with_unknown_words_are_found(size, edits):
+    pick = np.random.RandomState(size + edits)
+    items = [(i, " ".join(f"v{x}" for x in pick.randint(0, 4000, size))) for i in range(40)]
+    index = decontaminate.ItemIndex(items)
+    for i, text in items:
+        words = text.split()
+        for e in range(edits):
+            words[(2 * e + 1) * size // (2 * edits)] = f"unknown{i}x{e}"
+        changed = " ".join(["lead", "in", *words, "tail"])
+        best = best_similarity(changed, text)
+        assert best >= 0.8 and index.matches(changed).get(i) == pytest.approx(best)
+
+
 def plain_quality(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
