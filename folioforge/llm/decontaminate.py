@@ -2,18 +2,20 @@
 
 Words are runs of letters, digits and underscores in lower case; shingles are five words
 (items of fewer words have one shingle, all their words).  For each item a window of as
-many words slides over a text.  Windows get 64-bit SimHash fingerprints; a multi-index of
-the items' fingerprints finds every item within ``radius`` bits: with ``blocks`` parts, a
-fingerprint within the radius is within radius // blocks bits in one part at least, so
-each part's table lists the items under all values that near.  For what is found, the
-exact similarity of the windows' and items' shingles, weighted by their counts (shared
-weight over joint weight), decides against ``similarity``.
-
-A window must share enough shingles with items of its size to reach that similarity at
-all: of m shingles at least 2 s m / (1 + s).  Windows that don't are not fingerprinted; this drops
-no match.  Words that no item has are hashed themselves in what is fingerprinted, so each
-shingle has its own bits.  Items travel to the executors in blocks of bounded size, one pass over the
-texts for each block, however large the benchmark is.
+many words slides over a text; a text of fewer words is one window.  Windows get 64-bit
+SimHash fingerprints; a multi-index of the items' fingerprints finds every item within
+``radius`` bits: with ``blocks`` parts, a fingerprint within the radius is within
+radius // blocks bits in one part at least, so each part's table lists the items under all
+values that near.  For what is found, the exact similarity of the windows' and items'
+shingles, weighted by their counts (shared weight over joint weight), decides against
+``similarity``.
+
+A window must share enough shingles with items of a size to reach that similarity at all:
+of n shingles and the item's m at least s (n + m) / (1 + s).  Windows that don't are not
+fingerprinted; this drops no match.  Words that no item has are hashed themselves in what
+is fingerprinted, so each shingle has its own bits.  Items travel to the executors in
+blocks of bounded size, one pass over the texts for each block, however large the
+benchmark is.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ class ItemIndex:
         words = WORD.findall(text.lower())
         ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
         best: dict[int, float] = {}
-        share = 2 * self.s.similarity / (1 + self.s.similarity)
+        share = self.s.similarity / (1 + self.s.similarity)
         for k, known in self.grams.items():
             hashes = self._hashes(ids, k)
             some = np.flatnonzero(hashes)
@@ -137,20 +139,22 @@ class ItemIndex:
             whole = None  # with the unknown words' own hashes, once a window needs them
             for size, hits in places.items():
                 m = size - k + 1
-                if len(hits) >= share * m - 1e-9 and size <= len(ids):
+                n = min(m, len(hashes))  # a text shorter than the item is one window
+                least = share * (n + m) - 1e-9
+                if len(hits) >= least:
                     seen = np.zeros(len(hashes) + 1, np.int64)
                     seen[np.array(hits) + 1] = 1
                     seen = np.cumsum(seen)
-                    starts = np.flatnonzero(seen[m:] - seen[:-m] >= share * m - 1e-9)
+                    starts = np.flatnonzero(seen[n:] - seen[:-n] >= least)
                     if len(starts):
                         whole = self._hashes(self._own_ids(words, ids), k) if whole is None else whole
-                        self._verify(whole, size, m, starts, best)
+                        self._verify(whole, size, n, m, starts, best)
         return best
 
-    def _verify(self, hashes: np.ndarray, size: int, m: int, starts: np.ndarray, best: dict[int, float]) -> None:
-        """Fingerprint the windows at ``starts``, look their items up and compare exactly."""
+    def _verify(self, hashes: np.ndarray, size: int, n: int, m: int, starts: np.ndarray, best: dict[int, float]) -> None:
+        """Fingerprint the windows of ``n`` shingles at ``starts``, look their items up and compare exactly."""
         for start in starts.tolist():
-            window = hashes[start : start + m]
+            window = hashes[start : start + n]
             candidates = [i for i in self.near(int(fingerprint(_widen(window, 1))[0])) if self.size_of[i] == size]
             if not candidates:
                 continue
@@ -158,7 +162,7 @@ class ItemIndex:
             for i in candidates:
                 item_id, _, wanted = self.items[i]
                 shared = sum(min(c, wanted.get(g, 0)) for g, c in counts.items())
-                value = shared / (2 * m - shared)
+                value = shared / (n + m - shared)
                 if value >= self.s.similarity and value > best.get(item_id, 0):
                     best[item_id] = value
 

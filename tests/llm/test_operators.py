@@ -242,10 +242,10 @@ def test_contamination_matches_brute_force(spark, small):
 
 
 def best_similarity(text, item):
-    """The highest similarity of an item-sized window by brute force."""
+    """The highest similarity of an item-sized window, or of a shorter text, by brute force."""
     mine, wanted = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (re.findall(r"\w+", t.lower()) for t in (text, item)))
     m, best = len(wanted), 0.0
-    for a in range(max(0, len(mine) - m + 1)):
+    for a in range(max(1, len(mine) - m + 1)):
         window = mine[a : a + m]
         shared = sum((Counter(window) & Counter(wanted)).values())
         best = max(best, shared / (len(window) + m - shared))
@@ -266,6 +266,19 @@ def test_items_with_unknown_words_are_found(size, edits):
         assert best >= 0.8 and index.matches(changed).get(i) == pytest.approx(best)
 
 
+def test_texts_shorter_than_the_item_are_compared():
+    pick = np.random.RandomState(5)
+    items = [(i, " ".join(f"v{x}" for x in pick.randint(0, 2000, size))) for i, size in enumerate([5, 6, 20, 50, 50, 120, 400])]
+    index = decontaminate.ItemIndex(items)
+    for i, text in items:
+        words = text.split()
+        for cut in range(1, len(words), max(1, len(words) // 25)):
+            for part in (words[:-cut], words[cut:], [*words[: len(words) // 2], *words[len(words) // 2 + cut :]]):
+                best = best_similarity(" ".join(part), text)
+                assert index.matches(" ".join(part)).get(i, 0) == pytest.approx(best if best >= 0.8 else 0)
+    assert items[3][0] in index.matches(" ".join(items[3][1].split()[:-1])) and index.matches("") == {}
+
+
 def plain_quality(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
