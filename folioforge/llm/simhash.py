@@ -12,6 +12,9 @@ out of the list when it is reached; it links exactly what the pairs would link.
 over ``hot`` nodes are split again by the parts of the bits that the table left open, by
 the same pigeonhole rule; that fixes about three quarters of 64 bits, so what is left of
 a bucket has a bound that doesn't depend on the corpus.
+
+``similar_groups`` is for a stated Jaccard similarity, which no selective pigeonhole of
+fingerprints reaches: MinHash bands find candidates, exact comparison decides.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import id_and_text, materialize, worker_state
 from .graph import connected_components
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -72,30 +75,18 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, block_words: int | None = None, distinct: bool = False, text_hash: bool = False) -> DataFrame:
-    """(doc_id, fp array<long>, and if asked bp array<long> and text_hash) per document.
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
+    """(doc_id, fp array<long>) per document.
 
     Null and empty texts have the fingerprint zero, which links like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            main, other = [], []
-            for value in batch.column(1):
-                text = value.as_py()
-                main.append(fingerprint(shingle_hashes(text, words, distinct=distinct), lanes).view(np.int64))
-                if block_words:
-                    other.append(fingerprint(shingle_hashes(text, block_words, distinct=True), 4).view(np.int64))
-            columns = {"doc_id": batch.column(0), "fp": pa.array(main, pa.list_(pa.int64()))}
-            if block_words:
-                columns["bp"] = pa.array(other, pa.list_(pa.int64()))
-            if text_hash:
-                columns["text_hash"] = batch.column(2)
-            yield pa.RecordBatch.from_pydict(columns)
-
-    slim = id_and_text(docs)
-    slim = slim.withColumn("text_hash", F.xxhash64("text")) if text_hash else slim
-    return slim.mapInArrow(run, "doc_id long, fp array<long>" + (", bp array<long>" if block_words else "") + (", text_hash long" if text_hash else ""))
+            prints = [fingerprint(shingle_hashes(text.as_py(), words), lanes).view(np.int64) for text in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(prints, pa.list_(pa.int64()))})
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, fp array<long>")
 
 
 def _part_masks(bits: list[int], parts: int) -> list[int]:
@@ -212,28 +203,116 @@ def _pick(masks: list[int], word: Column) -> Column:
     return F.xxhash64("table", word.bitwiseAND(table[F.col("table")]))
 
 
-def sampled_tables(lanes: int, tables: int, bits: int, seed: int = 7) -> list[list[int]]:
-    """For wide fingerprints: ``tables`` random choices of ``bits`` bits, as masks per lane."""
-    pick = np.random.RandomState(seed)
-    out = []
-    for _ in range(tables):
-        chosen = pick.choice(64 * lanes, bits, replace=False)
-        out.append([sum(1 << int(b % 64) for b in chosen if b // 64 == lane) for lane in range(lanes)])
+def multipliers(count: int, seed: int = 7) -> np.ndarray:
+    """Odd 32-bit factors, one per MinHash value."""
+    return np.random.RandomState(seed).randint(0, 2**32, count, dtype=np.uint32) | np.uint32(1)
+
+
+def band_keys(hashes: np.ndarray, odd: np.ndarray, rows: int) -> np.ndarray:
+    """One signed key per band of ``rows`` MinHash values; none without hashes."""
+    import xxhash
+
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(odd), 2**32 - 1, np.uint32)
+    for at in range(0, len(high), 512):
+        np.minimum(least, np.multiply.outer(odd, high[at : at + 512]).min(axis=1), out=least)
+    raw, size = least.tobytes(), 4 * rows
+    return np.array([xxhash.xxh64_intdigest(raw[at : at + size], at // size) for at in range(0, len(raw), size)], np.uint64).view(np.int64)
+
+
+def _banded(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, text_hash, node, keys): node is a hash of a text's set of shingles."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # as the worker's state, so that what an earlier operator kept goes
+        odd = worker_state(("bands", bands, rows), lambda: multipliers(bands * rows))
+        for batch in batches:
+            nodes, keys = [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), words, distinct=True)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                keys.append(band_keys(hashes, odd, rows))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>")
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions that link what all pairs of Jaccard ``similarity`` or more link.
+
+    ``sets`` holds non-empty arrays of distinct values.  Every comparison is exact; a set
+    leaves the list when it is reached, as in ``spanning_forest``.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(sets))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            mine = flat[starts[at] : starts[at] + sizes[at]]
+            mark[mine] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)[rest]
+            mark[mine] = False
+            near = shared * (1 + similarity) >= similarity * (sizes[at] + sizes[rest]) - 1e-9
+            if near.any():
+                reached = rest[near].tolist()
+                out += [(at, r) for r in reached]
+                queue += reached
+                rest = rest[~near]
     return out
 
 
-def sampled_edges(nodes: DataFrame, radius: int, tables: int = 50, bits: int = 24) -> DataFrame:
-    """Edges between nodes (node, fp, bp) with fp within ``radius`` that share a block of bp.
+def _candidate_groups(nodes: DataFrame) -> DataFrame:
+    """(node, component) of nodes (node, keys) that share a key with another, over any chain."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    head = keyed.withColumn("head", F.min("node").over(Window.partitionBy("key"))).where("head <> node")
+    return connected_components(materialize(head.select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), "candidates"))
+
+
+def _verified_edges(docs: DataFrame, groups: DataFrame, chosen: DataFrame, words: int, similarity: float, chunk: int) -> DataFrame:
+    """Edges (u, v) of exact similarity inside candidate groups.
 
-    A pair whose bp differ in a share d of their bits shares one of the blocks with
-    probability 1 - (1 - (1 - d)^bits)^tables.
+    A group over ``chunk`` nodes is dealt into parts of about that size and every two
+    parts meet in a cell of their own, so no pair is left out and a task holds two parts.
     """
-    masks = sampled_tables(4, tables, bits)
-    keys = [F.xxhash64(F.lit(i), *[F.col("bp")[lane].bitwiseAND(F.lit(_signed(m))) for lane, m in enumerate(row) if m]) for i, row in enumerate(masks)]
-    keyed = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
-    alone = keyed.select("key", "node")
-    met = materialize(_crowded(alone), "buckets").drop("met")
-    return _bucket_edges(met.join(nodes.select("node", "fp"), "node"), radius)
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    dealt = groups.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: (F.col("parts") == 1) | (o != F.col("part")))
+    cells = F.transform(others, lambda o: F.xxhash64("component", F.least("part", o), F.greatest("part", o)))
+    wanted = dealt.select("node", cells.alias("cells")).join(chosen, "node").select("node", "cells", F.col("chosen.doc_id").alias("id"), F.col("chosen.text_hash").alias("hash"))
+    texts = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "cells", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingle_hashes(t.as_py(), words, distinct=True).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "cells": batch.column(1), "held": pa.array(held, pa.binary())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+
+        def close() -> pa.RecordBatch:
+            names = list(held)
+            pairs = similar_forest([np.frombuffer(h, np.uint64) for h in held.values()], similarity) if len(names) > 1 else []
+            return pa.RecordBatch.from_pydict({"u": pa.array([names[a] for a, _ in pairs], pa.int64()), "v": pa.array([names[b] for _, b in pairs], pa.int64())})
+
+        for batch in batches:
+            for c, node, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if c != cell:
+                    yield close()
+                    cell, held = c, {}
+                held[node] = h.as_py()  # rows alike in doc_id and text come more than once
+        yield close()
+
+    shipped = texts.mapInArrow(sets, "node long, cells array<long>, held binary").select(F.explode("cells").alias("cell"), "node", "held")
+    return shipped.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -260,20 +339,19 @@ def _named_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.select("node", "component").join(firsts, "component").select("node", "component", "first")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 45, block_words: int = 2, tables: int = 50, bits: int = 24) -> DataFrame:
-    """(doc_id, text_hash, component, first) for texts whose shingle sets are 0.8 alike or more.
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8, chunk: int = 500) -> DataFrame:
+    """(doc_id, text_hash, component, first) for texts whose shingle sets are ``similarity`` alike or more.
 
-    Two texts whose shingle sets have Jaccard similarity J have SimHash bits that differ
-    with probability acos(2J / (1 + J)) / pi: 0.151 at 0.8, so 39 of 256 bits with a
-    standard deviation of 5.7, and 59 at 0.6.  No pigeonhole of such a radius is selective,
-    so blocks come from a second fingerprint over ``block_words``-word shingles, of which
-    far fewer change when a word does, and several random choices of its bits.
-    ``first`` is a component's smallest non-null doc_id.
+    Two texts of Jaccard similarity J agree in a MinHash value with probability J, wherever
+    they differ, and in all ``rows`` of one of ``bands`` bands with 1 - (1 - J^rows)^bands:
+    0.9999 at 0.8.  Bands only name candidates; pairs are linked by the exact similarity of
+    their sets.  ``first`` is a component's smallest non-null doc_id.
     """
-    rows = fingerprints(docs, words, lanes, block_words, distinct=True, text_hash=True)
-    named = materialize(rows, "fingerprints").withColumn("node", F.xxhash64("fp"))
-    nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min_by("bp", "fp").alias("bp")), "nodes")
-    groups = _named_groups(nodes, sampled_edges(nodes, radius, tables, bits))
+    named = materialize(_banded(docs, words, bands, rows), "bands")
+    chosen = F.min(F.struct("doc_id", "text_hash")).alias("chosen")
+    nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), chosen, F.first("keys").alias("keys")), "nodes")
+    edges = _verified_edges(docs, _candidate_groups(nodes.select("node", "keys")), nodes.select("node", "chosen"), words, similarity, chunk)
+    groups = _named_groups(nodes.select("node", "first"), edges)
     return named.select("doc_id", "text_hash", "node").join(groups, "node").drop("node")
 
 

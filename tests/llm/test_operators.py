@@ -204,6 +204,44 @@ def test_similar_texts_keep_one_row(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([*range(30), 300], key=str)
 
 
+def word_sets_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("chunk", [500, 7])
+def test_similar_groups_match_brute_force(spark, chunk):
+    """Appended passages, replaced blocks, scattered edits and short texts, on both sides of 0.8."""
+    pick = np.random.RandomState(8)
+    fresh = lambda n: [f"w{x}" for x in pick.randint(0, 10**6, n)]
+    texts = []
+    for i in range(60):
+        base = fresh(200)
+        texts.append(base)
+        texts.append(base + fresh(40 + i % 20))
+        block = 12 + i % 16
+        texts.append(base[:80] + fresh(block) + base[80 + block :])
+        spread = list(base)
+        for at in range(10, 200, 200 // (3 + i % 4)):
+            spread[at] = f"x{i}y{at}"
+        texts.append(spread)
+        short = fresh(3 + i % 20)
+        texts += [short, short[:-1] + fresh(1), [*short, *fresh(1)]]
+    base = fresh(100)
+    texts += [base[k:] + fresh(k) for k in range(0, 60, 2)]  # a chain
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["first"] for r in simhash.similar_groups(docs, chunk=chunk).collect()}
+    wanted = list(range(len(texts)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] and word_sets_similarity(texts[i], texts[j]) >= 0.8 and wanted[i] != wanted[j]:
+                low, high = sorted((wanted[i], wanted[j]))
+                wanted = [low if w == high else w for w in wanted]
+    assert got == dict(enumerate(wanted))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 201)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
