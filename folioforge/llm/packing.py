@@ -8,7 +8,8 @@ product of demand and residual, or by the smallest norm of what would remain.
 Pieces of one length are alike, so the decisions need only how many pieces there are of
 each length.  That histogram has at most ``tokens`` rows at any corpus size; the plan made
 from it on the driver says for each range of ranks within a length which bins and offsets
-it fills.  Every piece then finds its place by its rank, in parallel.
+it fills.  Bins that best fit leaves with room are emptied and filled again where that
+saves some.  Every piece then finds its place by its rank, in parallel.
 """
 
 from __future__ import annotations
@@ -81,28 +82,52 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
 
 
 def plan_best_fit(counts: dict[int, int], capacity: Capacity = Capacity(), score: str = "residual", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> list[tuple[int, int, int, int, int]]:
-    """Place ``counts[length]`` pieces of each length, longest first.
+    """Place ``counts[length]`` pieces of each length.
+
+    Rows of the result: (length, first rank, pieces, first bin, offset); the piece with
+    rank ``first rank + i`` goes to ``first bin + i``.  ``best_fit_bins`` decides; bins
+    that it leaves with room are packed again by ``_refill`` if that takes fewer.
+    """
+    bins = _improved(best_fit_bins(counts, capacity, score, weights), capacity)
+    out: list[tuple[int, int, int, int, int]] = []
+    ranks: dict[int, int] = {}
+    first = 0
+    for held, many in bins:
+        offset = 0
+        for length, times in held:
+            for _ in range(times):
+                rank = ranks.get(length, 0)
+                out.append((length, rank, many, first, offset))
+                ranks[length] = rank + many
+                offset += length
+        first += many
+    return out
+
+
+#: What a bin holds, as (length, how many) from the longest down, and how many bins are alike.
+Bins = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def best_fit_bins(counts: dict[int, int], capacity: Capacity, score: str = "residual", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> Bins:
+    """Vector best fit, longest pieces first.
 
     Bins with the same residuals are handled as one class: the best class that fits is
-    found, and as many of its bins as there are pieces left get one piece each.  Rows of
-    the result: (length, first rank, pieces, first bin, offset); the piece with rank
-    ``first rank + i`` goes to ``first bin + i``.  ``score`` is "residual" (smallest
-    weighted norm of the residual after placement) or "dot" (largest weighted dot product
-    of demand and residual); both use residuals as shares of capacity.  An empty bin is
-    opened when no open one fits.
+    found, and as many of its bins as there are pieces left get one piece each.  ``score``
+    is "residual" (smallest weighted norm of the residual after placement) or "dot"
+    (largest weighted dot product of demand and residual); both use residuals as shares of
+    capacity.  An empty bin is opened when no open one fits.
     """
     if score not in ("residual", "dot"):
         raise ValueError(score)
     caps = np.array([capacity.tokens, capacity.pieces, capacity.attention], float)
     weight = np.asarray(weights, float)
     left = np.zeros((0, 3))  # of each class of open bins
-    first: list[int] = []
+    held: list[dict[int, int]] = []
     size: list[int] = []
-    out: list[tuple[int, int, int, int, int]] = []
-    bins = 0
+    full: Bins = []
     for length in sorted((n for n, c in counts.items() if c), reverse=True):
         need = np.array([length, 1, length * length], float)
-        rank, todo = 0, counts[length]
+        todo = counts[length]
         while todo:
             fits = np.flatnonzero((left >= need).all(axis=1))
             if len(fits):
@@ -110,30 +135,101 @@ def plan_best_fit(counts: dict[int, int], capacity: Capacity = Capacity(), score
                 value = (after * after) @ weight if score == "residual" else -((left[fits] / caps) * (need / caps)) @ weight
                 k = int(fits[np.argmin(value)])
                 take = min(todo, size[k])
-                offset = capacity.tokens - int(left[k, 0])
-                out.append((length, rank, take, first[k], offset))
-                moved = left[k] - need
                 if take < size[k]:  # the rest of the class stays as it was
                     left = np.vstack([left, left[k : k + 1]])
-                    first.append(first[k] + take)
+                    held.append(dict(held[k]))
                     size.append(size[k] - take)
-                left[k], size[k] = moved, take
+                left[k], size[k] = left[k] - need, take
             else:
-                each = int(min(capacity.tokens // length, capacity.pieces, capacity.attention // (length * length)))
-                take = -(-todo // each)  # so many bins are needed for what no open bin can hold
-                left = np.vstack([left, (caps - need)[None]])
-                first.append(bins)
-                size.append(min(take, todo))
-                out.append((length, rank, size[-1], bins, 0))
-                bins += take
-                take = size[-1]
-            rank += take
+                # only the bin just opened can take the next of them, until it is full
+                each = min(todo, int(min(capacity.tokens // length, capacity.pieces, capacity.attention // (length * length))))
+                take = todo // each
+                left = np.vstack([left, (caps - each * need)[None]])
+                held.append({length: each})
+                size.append(take)
+                todo -= each * take
+                continue
+            held[k][length] = held[k].get(length, 0) + 1
             todo -= take
         alive = left[:, 0] >= 1
         if not alive.all():
+            full += [(tuple(h.items()), s) for h, s, ok in zip(held, size, alive, strict=True) if not ok]
             left = left[alive]
-            first = [f for f, ok in zip(first, alive, strict=True) if ok]
+            held = [h for h, ok in zip(held, alive, strict=True) if ok]
             size = [s for s, ok in zip(size, alive, strict=True) if ok]
+    return full + [(tuple(h.items()), s) for h, s in zip(held, size, strict=True)]
+
+
+def _improved(bins: Bins, capacity: Capacity) -> Bins:
+    """``bins``, or fewer: those with room are emptied and packed again by exact filling.
+
+    The emptiest go first; then twice as many each time, up to all that have room.
+    """
+    tokens = lambda b: sum(n * c for n, c in b[0])
+    least = -(-sum(tokens(b) * b[1] for b in bins) // capacity.tokens)
+    count = sum(many for _, many in bins)
+    loose = sorted((b for b in bins if tokens(b) < capacity.tokens), key=tokens)
+    tight = [b for b in bins if tokens(b) == capacity.tokens]
+    take = 8
+    while count > least and loose:
+        free: dict[int, int] = {}
+        for held, many in loose[:take]:
+            for n, c in held:
+                free[n] = free.get(n, 0) + c * many
+        again = _refill(free, capacity)
+        saved = sum(many for _, many in loose[:take]) - sum(many for _, many in again)
+        if saved > 0:
+            count -= saved
+            loose = again + loose[take:]
+        if take >= len(loose):
+            break
+        take *= 2
+    return tight + loose
+
+
+def _refill(counts: dict[int, int], capacity: Capacity) -> Bins:
+    """Bins one kind after another: the longest piece left and what fills it best.
+
+    Which sums the other pieces reach is a set of bits; the largest sum that fits names
+    the pieces.  Where they break the other capacities the bin is filled longest first.
+    """
+    left = {n: c for n, c in sorted(counts.items(), reverse=True) if c}
+    out: Bins = []
+    while left:
+        seed = next(iter(left))
+        room = capacity.tokens - seed
+        inside = (1 << room + 1) - 1
+        reach, trail = 1, []
+        for n, c in left.items():
+            if n > room:
+                continue
+            for _ in range(min(c - (n == seed), room // n)):
+                more = (reach | reach << n) & inside
+                if more == reach:
+                    break
+                trail.append((n, reach))
+                reach = more
+            if reach >> room & 1:
+                break
+        at, held = reach.bit_length() - 1, {seed: 1}
+        for n, before in reversed(trail):
+            if not before >> at & 1:
+                held[n] = held.get(n, 0) + 1
+                at -= n
+        if sum(held.values()) > capacity.pieces or sum(n * n * c for n, c in held.items()) > capacity.attention:
+            held = {}
+            spare = np.array([capacity.tokens, capacity.pieces, capacity.attention])
+            for n, c in left.items():
+                fit = int(min(c, *(spare // (n, 1, n * n))))
+                if fit > 0:
+                    held[n] = fit
+                    spare -= np.array([n, 1, n * n]) * fit
+        many = min(left[n] // c for n, c in held.items())
+        out.append((tuple(sorted(held.items(), reverse=True)), many))
+        for n, c in held.items():
+            left[n] -= c * many
+            if not left[n]:
+                del left[n]
     return out
 
 

@@ -4,7 +4,8 @@ Encoding a text costs about a microsecond a byte in the library, nearly all of i
 the same words again.  Both vocabularies used here split a text before merging, and never
 across a lone blank or line break, so a text is cut there, each piece is encoded once by
 the library and its ids are kept in a bounded table of the Python worker.  Texts in which
-blanks stand next to other white space go to the library whole.
+blanks stand next to other white space go to the library whole, and so do texts that hold
+one of the file's added tokens, which the library cuts out before anything else.
 """
 
 from __future__ import annotations
@@ -27,14 +28,18 @@ class PieceEncoder:
     ``keeps_blank``: the vocabulary's words carry the blank before them (byte-level);
     otherwise white space is dropped and case ignored.  ``table_size`` bounds the kept
     pieces per worker; pieces beyond it are encoded each time, with the same ids.
+    ``plain_controls``: control strings inside a text are ordinary text; by default they
+    become their own ids, as in the library.
     """
 
-    def __init__(self, path: str, keeps_blank: bool, table_size: int = 600_000, longest_kept: int = 48):
+    def __init__(self, path: str, keeps_blank: bool, table_size: int = 600_000, longest_kept: int = 48, plain_controls: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_controls
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added)) if added and not plain_controls else None
         self.keeps_blank, self.table_size, self.longest_kept = keeps_blank, table_size, longest_kept
         #: Stands between pieces that are encoded in one call; pieces that hold it go alone.
         self.mark = "\n" if keeps_blank else "0"
@@ -43,6 +48,8 @@ class PieceEncoder:
         self.kept: dict[str, bytes] = {"": b"", self.mark: np.asarray([self.mark_id], "<u4").tobytes()}
 
     def _cut(self, text: str) -> list[str]:
+        if self.added is not None and self.added.search(text):
+            return [text]
         if self.keeps_blank:
             if "\x00" in text or _CROWDED.search(text):
                 return [text]
@@ -61,7 +68,7 @@ class PieceEncoder:
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        plain = [p for p in pieces if len(p) <= self.longest_kept and self.mark not in p and not p[-1].isspace()]
+        plain = [p for p in pieces if len(p) <= self.longest_kept and self.mark not in p and not p[-1].isspace() and not (self.added is not None and self.added.search(p))]
         for at in range(0, len(plain), 256):
             group = plain[at : at + 256]
             if found := self._together(group):

@@ -35,15 +35,20 @@ def small(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
-@pytest.fixture(scope="module", params=[(BYTE, True), (WORD, False)])
+@pytest.fixture(scope="module", params=[(BYTE, True, False), (WORD, False, False), (BYTE, True, True), (WORD, False, True)])
 def code(request):
-    return tokens.PieceEncoder(*request.param, table_size=50)
+    path, keeps_blank, plain_controls = request.param
+    return tokens.PieceEncoder(path, keeps_blank, table_size=50, plain_controls=plain_controls)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab'sS .,\n\t 0_é́ßİ한<|endoftext|>\x00\x1c"), max_size=40), max_size=4))
+@given(st.lists(st.lists(st.sampled_from([*"ab'sS .,\n\t 0_é́ßİ한<|endoftext|>\x00\x1c", "<|endoftext|>", "<|startoftext|>", " <|endoftext|>\n"]), max_size=40).map("".join), max_size=4))
 def test_pieces_encode_as_the_library_does(code, texts):
-    plain = code.tokenizer.encode_batch(texts, add_special_tokens=False)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE if code.keeps_blank else WORD)
+    library.encode_special_tokens = code.added is None
+    plain = library.encode_batch(texts, add_special_tokens=False)
     assert code.encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in plain]
 
 
@@ -76,7 +81,6 @@ def test_packed_ids_are_the_documents(spark, small):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
     for r in small.collect():
         got = np.concatenate([pieces[r["doc_id"]][k] for k in sorted(pieces[r["doc_id"]])])
         assert got.tolist() == [*library.encode(r["text"], add_special_tokens=False).ids, 2]
@@ -103,6 +107,49 @@ def test_plan_respects_every_capacity(counts, score, pieces):
         assert at <= 64
 
 
+def one_by_one(counts, cap, score, weights=(1.0, 0.05, 0.05)):
+    """Vector best fit of single pieces, longest first; the sorted contents of the bins."""
+    caps, bins = (cap.tokens, cap.pieces, cap.attention), []
+    for length in sorted(counts, reverse=True):
+        need = (length, 1, length * length)
+        for _ in range(counts[length]):
+            def value(b):
+                rest = [(r - n * (score == "residual")) / c for r, n, c in zip(b[0], need, caps, strict=True)]
+                if score == "residual":
+                    return sum(w * x * x for w, x in zip(weights, rest, strict=True))
+                return -sum(w * x * n / c for w, x, n, c in zip(weights, rest, need, caps, strict=True))
+
+            open_ = [b for b in bins if all(r >= n for r, n in zip(b[0], need, strict=True))]
+            if not open_:
+                bins.append(([*caps], []))
+                open_ = bins[-1:]
+            b = min(open_, key=lambda b: round(value(b), 12))
+            b[0][:] = [r - n for r, n in zip(b[0], need, strict=True)]
+            b[1].append(length)
+    return sorted(sorted(b[1]) for b in bins)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 12), max_size=20), st.sampled_from(["residual", "dot"]), st.integers(2, 9))
+def test_classes_of_bins_act_as_single_bins_do(counts, score, pieces):
+    cap = packing.Capacity(64, pieces, 64 * 64)
+    got = packing.best_fit_bins(counts, cap, score)
+    plain = one_by_one(counts, cap, score)
+    held = sorted(sorted(n for n, c in h for _ in range(c)) for h, many in got for _ in range(many))
+    assert len(held) == len(plain) and Counter(n for b in held for n in b) == Counter(counts)
+    planned = packing.plan_best_fit(counts, cap, score)
+    assert max((f + m for _, _, m, f, _ in planned), default=0) <= len(plain)
+
+
+def test_packing_is_near_the_lower_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = packing.tokenized_pieces(docs, BYTE, 2).groupBy("length").count().collect()
+    counts = {r["length"]: r["count"] for r in pieces}
+    least = -(-sum(n * c for n, c in counts.items()) // 1024)
+    for score in ("residual", "dot"):
+        assert max(f + m for _, _, m, f, _ in packing.plan_best_fit(counts, score=score)) <= least + 1
+
+
 def test_token_shards_round_trip(spark, odd):
     rows = sstable.store_and_read_tokens(odd, WORD).collect()
     assert len(rows) == len(ODD)
@@ -115,6 +162,20 @@ def test_token_shards_round_trip(spark, odd):
     assert sstable.store_and_read_tokens(odd.limit(0), WORD).count() == 0
 
 
+def test_shards_hold_the_librarys_ids(spark, small):
+    """Identifiers, starts, counts and checksums of every text through the files."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD)
+    docs = small.select("doc_id", "text").unionByName(spark.createDataFrame([(-5, "one <|endoftext|> two<|startoftext|>"), (-4, None)], "doc_id long, text string"))
+    wanted, at = [], 0
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        wanted.append((r["doc_id"], at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, sstable.store_and_read_tokens(docs, WORD).collect())) == wanted
+
+
 def test_shard_lookup_and_damage():
     sink = io.BytesIO()
     writer = sstable.ShardWriter(sink, block_bytes=64)
