@@ -1,19 +1,21 @@
-"""Shared pieces of the training-data operators: input shaping and state of workers."""
+"""Shared pieces of the training-data operators: input shaping, hot joins and state of workers."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.storage import materialize, scratch_path, shared_root
 
-__all__ = ["id_and_text", "materialize", "scratch_path", "shared_root", "worker_state"]
+__all__ = ["free_names", "hashed", "id_and_text", "join_spread", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
 
 T = TypeVar("T")
 _STATE: dict[object, object] = {}
+#: A hot key's rows are dealt to so many parts; a mask of 64 bits says which occur.
+SALTS = 64
 
 
 def worker_state(key: object, make: Callable[[], T]) -> T:
@@ -35,3 +37,43 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of the operator.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_position(df: DataFrame, name: str = "text") -> int:
+    """Where the column stands; names are compared as Spark does by default, without case."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def hashed(*columns: Column | str) -> Column:
+    """A row's part, 0 to ``SALTS`` - 1, by a hash of ``columns``."""
+    return F.pmod(F.xxhash64(F.lit("part"), *columns), F.lit(SALTS)).cast("int")
+
+
+def used_salts(salt: Column) -> Column:
+    """Aggregate: which parts a key's rows lie in, as bits; combined before the shuffle."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def join_spread(rows: DataFrame, one: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one`` on ``key``, where ``rows`` may have very many rows of a key.
+
+    ``one`` has a row per key and, in ``salts``, the parts that occur (``used_salts`` of
+    the same ``salt``); each of its rows is repeated once per part, so never more often
+    than the key has rows, and a hot key's rows go to ``SALTS`` tasks.
+    """
+    part, key2 = "_part", "_key"
+    wide = one.withColumn(part, F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1))).drop("salts").withColumnRenamed(key, key2)
+    dealt = rows.withColumn("_salt", salt)
+    return dealt.join(wide, (F.col(key) == F.col(key2)) & (F.col("_salt") == F.col(part)), how).drop("_salt", part, key2)

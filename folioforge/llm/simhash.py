@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, worker_state
+from .common import hashed, id_and_text, join_spread, materialize, used_salts, worker_state
 from .graph import connected_components
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -170,14 +170,15 @@ def _bucket_edges(buckets: DataFrame, radius: int) -> DataFrame:
     return sorted_.mapInArrow(run, "u long, v long")
 
 
-def _crowded(keyed: DataFrame) -> DataFrame:
-    """Rows whose key others have too, with the key's count ``met``; most keys are alone."""
-    return keyed.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
+def _crowded(keyed: DataFrame, label: str) -> DataFrame:
+    """Rows (key, node, ...) whose key others have too, with the key's count ``met``.
 
-
-def _keys(masks: list[int], word: Column, salt: list[Column]) -> Column:
-    """One key per table: a hash of the table and the masked word."""
-    return F.explode(F.array(*[F.xxhash64(*salt, F.lit(i), word.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]))
+    Counts are combined before the shuffle and a key's rows meet them in many parts, so a
+    hot key is no single task.  Most keys are alone and go here.
+    """
+    salt = hashed("node")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met"), used_salts(salt).alias("salts")).where("met > 1")
+    return join_spread(keyed, materialize(counts, label), "key", salt)
 
 
 def exact_edges(nodes: DataFrame, radius: int = 3, blocks: int = 6, hot: int = 4_000) -> DataFrame:
@@ -189,13 +190,13 @@ def exact_edges(nodes: DataFrame, radius: int = 3, blocks: int = 6, hot: int = 4
     """
     masks = pigeonhole_tables(radius, blocks)
     word = F.col("fp")[0]
-    met = materialize(_crowded(nodes.withColumn("table", F.explode(F.lit(list(range(len(masks)))))).withColumn("key", _pick(masks, word))), "buckets")
+    met = materialize(_crowded(nodes.withColumn("table", F.explode(F.lit(list(range(len(masks)))))).withColumn("key", _pick(masks, word)), "bucket-counts"), "buckets")
     few = _bucket_edges(met.where(F.col("met") <= hot), radius)
     # beyond `hot`: split by parts of the bits that the table left open
     open_parts = [pigeonhole_tables(radius, blocks, [b for b in range(64) if not m >> b & 1]) for m in masks]
     inner = F.array(*[F.array(*[F.lit(_signed(m)) for m in row]) for row in open_parts])
     many = met.where(F.col("met") > hot).withColumn("inner", F.explode(inner[F.col("table")])).withColumn("key", F.xxhash64("key", "inner", word.bitwiseAND(F.col("inner"))))
-    return few.unionByName(_bucket_edges(_crowded(many.drop("met")), radius))
+    return few.unionByName(_bucket_edges(_crowded(many.drop("met"), "inner-counts"), radius))
 
 
 def _pick(masks: list[int], word: Column) -> Column:
@@ -269,50 +270,116 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def _candidate_groups(nodes: DataFrame) -> DataFrame:
-    """(node, component) of nodes (node, keys) that share a key with another, over any chain."""
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(node, head, weight) of nodes (node, keys) that share keys with others, stored.
+
+    head: the smallest node of a shared key's bucket; weight: how many nodes are in the
+    buckets that have this head.
+    """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    head = keyed.withColumn("head", F.min("node").over(Window.partitionBy("key"))).where("head <> node")
-    return connected_components(materialize(head.select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), "candidates"))
+    salt = hashed("node")
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("met"), used_salts(salt).alias("salts")).where("met > 1")
+    return materialize(join_spread(keyed, heads, "key", salt).groupBy("node", "head").agg(F.sum("met").alias("weight")), "candidates")
 
 
-def _verified_edges(docs: DataFrame, groups: DataFrame, chosen: DataFrame, words: int, similarity: float, chunk: int) -> DataFrame:
-    """Edges (u, v) of exact similarity inside candidate groups.
+def _jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared * (1 + similarity) >= similarity * (len(a) + len(b)) - 1e-9
 
-    A group over ``chunk`` nodes is dealt into parts of about that size and every two
-    parts meet in a cell of their own, so no pair is left out and a task holds two parts.
-    """
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-    dealt = groups.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: (F.col("parts") == 1) | (o != F.col("part")))
-    cells = F.transform(others, lambda o: F.xxhash64("component", F.least("part", o), F.greatest("part", o)))
-    wanted = dealt.select("node", cells.alias("cells")).join(chosen, "node").select("node", "cells", F.col("chosen.doc_id").alias("id"), F.col("chosen.text_hash").alias("hash"))
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, held) for nodes (node, chosen): the sorted shingle hashes of one text each, stored."""
+    rows = wanted.select("node", F.col("chosen.doc_id").alias("id"), F.col("chosen.text_hash").alias("hash"))
     texts = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "cells", "text")
+    texts = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [shingle_hashes(t.as_py(), words, distinct=True).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "cells": batch.column(1), "held": pa.array(held, pa.binary())})
+            held = [shingle_hashes(t.as_py(), words, distinct=True).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "held": pa.array(held, pa.binary())})
+
+    # rows alike in doc_id and text come more than once
+    return materialize(texts.mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.first("held").alias("held")), "shingle-sets")
+
+
+def _verified_edges(docs: DataFrame, met: DataFrame, chosen: DataFrame, words: int, similarity: float, chunk: int) -> DataFrame:
+    """Edges (u, v) that link what all pairs of exact similarity inside candidate groups link.
+
+    A group of at most ``chunk`` nodes is one cell.  In a larger one the node that meets
+    most others is compared with all first.  What it links needs no comparison among
+    itself; only the rest is compared with everything, dealt into parts of about ``chunk``
+    nodes so that each part of the rest meets each part once.  So a large group of copies
+    costs a pass over it, and no pair that could add a link is left out.
+    """
+    salt = hashed("node")
+    groups = materialize(connected_components(met.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))), "candidate-groups")
+    members = groups.join(met.groupBy("node").agg(F.sum("weight").alias("weight")), "node")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("many"), F.max(F.struct("weight", "node"))["node"].alias("centre"), used_salts(salt).alias("salts"))
+    members = materialize(join_spread(members, sizes, "component", salt).select("node", "component", "many", "centre"), "candidate-members")
+    sets = _shingle_sets(docs, members.join(chosen, "node"), words)
+    sized = sets.join(members, "node")
+    small = sized.where(F.col("many") <= chunk).select(F.col("component").alias("cell"), F.lit(True).alias("rest"), "node", "held")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = [_jaccard_at_least(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), similarity) for a, b in zip(batch.column(3), batch.column(4), strict=True)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "component": batch.column(1), "centre": batch.column(2), "linked": pa.array(linked, pa.bool_())})
+
+    large = sized.where(F.col("many") > chunk)
+    centres = large.where("node = centre").select(F.col("component").alias("of"), F.col("held").alias("centre_held"))
+    centres = members.where(F.col("many") > chunk).groupBy("component").agg(used_salts(salt).alias("salts")).join(centres, F.col("component") == F.col("of")).drop("of")
+    compared = join_spread(large, centres, "component", salt).select("node", "component", "centre", "held", "centre_held")
+    stars = materialize(compared.mapInArrow(star, "node long, component long, centre long, linked boolean"), "stars")
+    star_edges = stars.where("linked AND node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+
+    parts = stars.groupBy("component").agg(F.ceil(F.count_if(~F.col("linked")) / chunk).alias("rests"), F.ceil(F.count_if("linked") / chunk).alias("others"), used_salts(salt).alias("salts")).where("rests > 0")
+    dealt = join_spread(stars.drop("centre"), parts, "component", salt).withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("others")).otherwise(F.col("rests"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_rest = F.transform(upto("rests"), lambda o: F.xxhash64("component", F.lit("rest"), F.least("part", o), F.greatest("part", o)))
+    with_linked = F.transform(upto("others"), lambda o: F.xxhash64("component", F.lit("linked"), "part", o))
+    from_linked = F.transform(upto("rests"), lambda o: F.xxhash64("component", F.lit("linked"), o, "part"))
+    cells = F.when(F.col("linked"), from_linked).otherwise(F.concat(with_rest, with_linked))
+    big = dealt.select("node", (~F.col("linked")).alias("rest"), F.explode(cells).alias("cell")).join(sets, "node").select("cell", "rest", "node", "held")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, {}
 
         def close() -> pa.RecordBatch:
-            names = list(held)
-            pairs = similar_forest([np.frombuffer(h, np.uint64) for h in held.values()], similarity) if len(names) > 1 else []
+            rest = [n for n, (r, _) in held.items() if r]
+            linked = [n for n, (r, _) in held.items() if not r]
+            pairs = cell_links([held[n][1] for n in rest], [held[n][1] for n in linked], similarity)
+            names = rest + linked
             return pa.RecordBatch.from_pydict({"u": pa.array([names[a] for a, _ in pairs], pa.int64()), "v": pa.array([names[b] for _, b in pairs], pa.int64())})
 
         for batch in batches:
-            for c, node, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for c, rest, node, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if c != cell:
                     yield close()
                     cell, held = c, {}
-                held[node] = h.as_py()  # rows alike in doc_id and text come more than once
+                held[node] = (rest, np.frombuffer(h.as_py(), np.uint64))
         yield close()
 
-    shipped = texts.mapInArrow(sets, "node long, cells array<long>, held binary").select(F.explode("cells").alias("cell"), "node", "held")
-    return shipped.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
+    cells_ = small.unionByName(big).repartition("cell").sortWithinPartitions("cell")
+    return cells_.mapInArrow(compare, "u long, v long").unionByName(star_edges)
+
+
+def cell_links(rest: list[np.ndarray], linked: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions in ``rest + linked``: the forest of ``rest`` and a link to ``linked`` for each that has one.
+
+    ``linked`` sets belong together already.
+    """
+    pairs = similar_forest(rest, similarity) if len(rest) > 1 else []
+    if rest and linked:
+        sizes = np.array([len(s) for s in linked], np.int64)
+        flat = np.concatenate(linked)
+        starts = np.cumsum(sizes) - sizes
+        for i, own in enumerate(rest):
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            shared = np.add.reduceat(own[at] == flat, starts, dtype=np.int64)
+            near = np.flatnonzero(shared * (1 + similarity) >= similarity * (len(own) + sizes) - 1e-9)
+            if len(near):
+                pairs.append((i, len(rest) + int(near[0])))
+    return pairs
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -323,20 +390,21 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = 3, bloc
     fall together.  An empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, words), "fingerprints").select("doc_id", F.col("fp")[0].alias("node"))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), used_salts(hashed("doc_id")).alias("salts"))
     nodes = materialize(nodes, "nodes")
     edges = exact_edges(nodes.select("node", F.array("node").alias("fp")), radius, blocks)
     groups = _named_groups(nodes, edges)
     hexed = F.lower(F.lpad(F.hex("node"), 16, "0"))
-    return rows.join(groups, "node").select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
+    return join_spread(rows, groups, "node", hashed("doc_id")).select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def _named_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component, first): first is the smallest document of each node's component."""
+    """(node, component, first, salts): first is the smallest document of each node's component."""
     parts = connected_components(edges)
     known = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = known.groupBy("component").agg(F.min("first").alias("first"))
-    return known.select("node", "component").join(firsts, "component").select("node", "component", "first")
+    firsts = known.groupBy("component").agg(F.min("first").alias("first"), used_salts(hashed("node")).alias("salts"))
+    named = join_spread(known.select("node", "component", F.col("salts").alias("node_salts")), firsts, "component", hashed("node"))
+    return named.select("node", "component", "first", F.col("node_salts").alias("salts"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8, chunk: int = 500) -> DataFrame:
@@ -349,22 +417,27 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ban
     """
     named = materialize(_banded(docs, words, bands, rows), "bands")
     chosen = F.min(F.struct("doc_id", "text_hash")).alias("chosen")
-    nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), chosen, F.first("keys").alias("keys")), "nodes")
-    edges = _verified_edges(docs, _candidate_groups(nodes.select("node", "keys")), nodes.select("node", "chosen"), words, similarity, chunk)
-    groups = _named_groups(nodes.select("node", "first"), edges)
-    return named.select("doc_id", "text_hash", "node").join(groups, "node").drop("node")
+    nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), chosen, F.first("keys").alias("keys"), used_salts(hashed("doc_id", "text_hash")).alias("salts")), "nodes")
+    edges = _verified_edges(docs, _candidates(nodes.select("node", "keys")), nodes.select("node", "chosen"), words, similarity, chunk)
+    groups = _named_groups(nodes.select("node", "first", "salts"), edges)
+    return join_spread(named.select("doc_id", "text_hash", "node"), groups, "node", hashed("doc_id", "text_hash")).drop("node")
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """One row of every group of near-duplicate texts, with all columns of ``docs``.
 
     It is the row with the smallest doc_id (null is the largest), then the smallest text
-    hash; of rows alike in both, any one.  Empty and null texts are one group.
+    hash; of rows alike in both, any one.  Empty and null texts are one group.  Columns
+    may have any name.  An empty table gives an empty result.
+
+    Rows alike in doc_id and text are reduced before the shuffle, and the texts are
+    shuffled once, by doc_id and text hash.
     """
     rows = similar_groups(docs, **settings)
-    chosen = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_ff_id"), F.col("k.text_hash").alias("_ff_hash"))
-    marked = docs.withColumn("_ff_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_ff_id", F.col("doc_id").cast("long"))
-    chosen = chosen.select(F.col("_ff_id").alias("_ff_id2"), F.col("_ff_hash").alias("_ff_hash2"))
-    kept = marked.join(chosen, F.col("_ff_id").eqNullSafe(F.col("_ff_id2")) & (F.col("_ff_hash") == F.col("_ff_hash2")), "left_semi")
-    once = Window.partitionBy("_ff_id", "_ff_hash").orderBy("_ff_hash")
-    return kept.withColumn("_ff_nth", F.row_number().over(once)).where("_ff_nth = 1").select(*docs.columns)
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    keys = ["none", "id", "hash"]
+    chosen = least.select(F.col("k.none").alias("none"), F.coalesce("k.doc_id", F.lit(0)).cast("long").alias("id"), F.col("k.text_hash").alias("hash"))
+    own_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = docs.select(own_id.isNull().alias("none"), F.coalesce(own_id, F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = whole.groupBy(*keys).agg(F.first("row").alias("row"))
+    return once.join(chosen, keys, "left_semi").select("row.*")

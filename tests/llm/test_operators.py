@@ -259,10 +259,12 @@ def test_similar_texts_keep_one_row(spark):
     base = [" ".join(pick.choice(words, 150)) for _ in range(30)]
     near = [t.replace(t.split()[75], "changed", 1) for t in base[:10]]
     rows = [(i, t, "k") for i, t in enumerate(base)] + [(100 + i, t, "k") for i, t in enumerate(near)] + [(200, base[0], "k"), (200, base[0], "k"), (300, None, "k"), (None, "", "k")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").withColumns({"_ff_hash": F.lit("q"), "id": F.lit("i"), "none": F.lit(None).cast("string"), "a.b": F.lit(1)})
     got = simhash.keep_one_of_each(docs)
-    assert got.columns == docs.columns
+    assert got.dtypes == docs.dtypes
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([*range(30), 300], key=str)
+    assert {(r["_ff_hash"], r["id"], r["none"]) for r in got.collect()} == {("q", "i", None)}
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
 def word_sets_similarity(a, b):
@@ -290,6 +292,10 @@ def test_similar_groups_match_brute_force(spark, chunk):
         texts += [short, short[:-1] + fresh(1), [*short, *fresh(1)]]
     base = fresh(100)
     texts += [base[k:] + fresh(k) for k in range(0, 60, 2)]  # a chain
+    base = fresh(200)
+    texts += [base[: 5 + 4 * i] + fresh(9) + base[14 + 4 * i :] for i in range(20)]  # alike to the next one only through it,
+    texts.append(base)
+    texts += [base[:170] + fresh(9) + base[179:180] + fresh(9) + base[189:] for _ in range(20)]  # or not at all
     texts = [" ".join(t) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["first"] for r in simhash.similar_groups(docs, chunk=chunk).collect()}
@@ -309,6 +315,13 @@ def test_components_of_a_long_path(spark):
     assert {got[i] for i in range(41)} == {0} and got[201] == 200 and 100 not in got
 
 
+def test_components_of_a_large_star_and_a_bipartite_graph(spark):
+    star = spark.range(1, 3001).selectExpr("0L AS u", "id AS v")
+    dense = spark.range(900).selectExpr("10000 + id % 30 AS u", "20000 + CAST(id / 30 AS long) AS v")
+    got = {r["node"]: r["component"] for r in connected_components(star.unionByName(dense)).collect()}
+    assert {got[i] for i in range(3001)} == {0} and {v for k, v in got.items() if k >= 10000} == {10000} and len(got) == 3061
+
+
 def test_contamination_matches_brute_force(spark, small):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
