@@ -12,21 +12,29 @@ _OWN_ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it.
+    """The session's checkpoint folder: as set with ``setCheckpointDir``, or else ``spark.checkpoint.dir``.
 
-    Where the session has none (single-machine tests) a temporary folder of this process
-    is used and set as the checkpoint folder.
+    Where the session has none a temporary folder of this process is used and set as the
+    checkpoint folder, on a local master only: on a cluster the executors could not see
+    it, so there this raises.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    own = _OWN_ROOTS.get(context.applicationId)
+    if own:
+        return own
+    configured = context.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOTS:
-        held = tempfile.TemporaryDirectory(prefix="folioforge-", ignore_cleanup_errors=True)
-        atexit.register(held.cleanup)
-        _OWN_ROOTS[app] = f"file://{held.name}"
-        spark.sparkContext.setCheckpointDir(_OWN_ROOTS[app])
-    return _OWN_ROOTS[app]
+    at = context._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        return at.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    held = tempfile.TemporaryDirectory(prefix="folioforge-", ignore_cleanup_errors=True)
+    atexit.register(held.cleanup)
+    _OWN_ROOTS[context.applicationId] = f"file://{held.name}"
+    context.setCheckpointDir(_OWN_ROOTS[context.applicationId])
+    return _OWN_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
