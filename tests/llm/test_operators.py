@@ -378,6 +378,46 @@ def test_items_with_unknown_words_are_found(size, edits):
         assert best >= 0.8 and index.matches(changed).get(i) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("scan", [0, 10**9])
+def test_block_index_is_whole_and_selective(scan):
+    """All prints within the radius are found; under 5 percent of 10,000 unrelated ones are looked at."""
+    pick = np.random.RandomState(4)
+    prints = np.frombuffer(pick.bytes(10_000 * 32), np.uint64).reshape(-1, 4)
+    index = decontaminate.BlockIndex(prints, decontaminate.Settings(), scan)
+    asked = [len(index.near(np.frombuffer(pick.bytes(32), np.uint64))) for _ in range(20)]
+    assert np.mean(asked) < 0.05 * len(prints)
+    for i in range(40):
+        bits = np.unpackbits(prints[i].view(np.uint8))
+        bits[pick.choice(256, 40 + i % 30, replace=False)] ^= 1
+        value = np.packbits(bits).view(np.uint64)
+        assert index.within(value).tolist() == np.flatnonzero(np.bitwise_count(prints ^ value).sum(axis=1) <= 63).tolist()
+
+
+def test_item_index_is_small():
+    """A full block of items costs a worker less than 300 MB."""
+    import tracemalloc
+
+    pick = np.random.RandomState(6)
+    vocabulary = np.array([f"word{i}" for i in range(60_000)])
+    items = [(i, " ".join(vocabulary[pick.randint(0, 60_000, 60)])) for i in range(1300)]  # a tenth of a block
+    chars = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    index = decontaminate.ItemIndex(items)
+    held = tracemalloc.get_traced_memory()[1] * decontaminate.Settings().block_chars / chars
+    tracemalloc.stop()
+    assert held < 300e6 and len(index.item_ids) == 1300
+
+
+def test_decontamination_of_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, None), (2, ""), (3, "tie tie")], "item_id long, text string").withColumn("doc_id", F.lit(5))
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminations(odd, bench).collect())
+    assert got == {(3, 1): 2, (5, 3): 1, (6, 3): 1}
+    named = odd.withColumnRenamed("text", "Text").withColumn("item_id", F.lit("x"))
+    kept = decontaminate.drop_contaminated(named, bench)
+    assert kept.columns == named.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 4]
+    assert decontaminate.drop_contaminated(odd.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(odd, bench.limit(0)).count() == len(ODD)
+
+
 def test_texts_shorter_than_the_item_are_compared():
     pick = np.random.RandomState(5)
     items = [(i, " ".join(f"v{x}" for x in pick.randint(0, 2000, size))) for i, size in enumerate([5, 6, 20, 50, 50, 120, 400])]
