@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioforge.storage import materialize, scratch_path, shared_root
 
-__all__ = ["free_names", "hashed", "id_and_text", "join_spread", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
+__all__ = ["free_names", "hashed", "id_and_text", "join_spread", "map_whole_rows", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
 
 T = TypeVar("T")
 _STATE: dict[object, object] = {}
@@ -56,6 +58,16 @@ def text_position(df: DataFrame, name: str = "text") -> int:
     return [c.lower() for c in df.columns].index(name.lower())
 
 
+def map_whole_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: str = "") -> DataFrame:
+    """``mapInArrow`` that keeps all columns, whatever their names, and may add ``more`` (DDL) at the end.
+
+    ``run`` sees the columns by position.
+    """
+    slim = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    added = StructType.fromDDL(more).fields if more else []
+    return slim.mapInArrow(run, StructType([*slim.schema.fields, *added])).toDF(*df.columns, *[f.name for f in added])
+
+
 def hashed(*columns: Column | str) -> Column:
     """A row's part, 0 to ``SALTS`` - 1, by a hash of ``columns``."""
     return F.pmod(F.xxhash64(F.lit("part"), *columns), F.lit(SALTS)).cast("int")

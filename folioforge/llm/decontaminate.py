@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, text_position, worker_state
+from .common import id_and_text, map_whole_rows, text_position, worker_state
 from .simhash import _widen, fingerprint
 
 WORD = re.compile(r"\w+")
@@ -289,5 +289,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings
                 keep = [not index.matches(text.as_py() or "") for text in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_whole_rows(docs, run)
     return docs

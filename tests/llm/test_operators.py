@@ -494,6 +494,69 @@ def test_secret_spans_and_owners(spark):
     assert secrets.redact_live(docs).count() == len(rows)
 
 
+def plain_secrets(rows, most=3, share=0.15):
+    """Verdicts per row by loops over the whole corpus; rows are (repository, text, owner)."""
+    base, bare = [], []
+    owners, repos = defaultdict(set), defaultdict(set)
+    for repo, text, owner in rows:
+        text = text or ""
+        found = [(m.start(), 0, m.end(), m.group(2)) for m in re.finditer(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m.group(2)) >= 6]
+        found += [(m.start(), 1, m.end(), m.group()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+        found += [(m.start(), 2, m.end(), m.group()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+        words = [(s, 3, e, text[s:e], r) for s, e, r in secrets.bare_values(text, [(s, k, e, s, e) for s, k, e, _ in sorted(found)])]
+        base.append(sorted(found))
+        bare.append(words)
+        for x in found + words:
+            owners[x[3]].add(owner or "")
+            repos[x[3]].add(str(repo))
+    few = min(most, -(-len({o or "" for _, _, o in rows}) * share // 1))
+    of_base = {x[3] for f in base for x in f}
+    out = []
+    for found, words in zip(base, bare, strict=True):
+        live = [w for w in words if len(owners[w[3]]) <= few and (w[4] or w[3] in of_base)]
+        live = [w for w in live if not any(o[0] <= w[0] and w[2] <= o[2] and o is not w and (o[0], -o[2]) < (w[0], -w[2]) for o in live)]
+        spans = sorted(found + [w[:4] for w in live])
+        out.append(",".join(f"{secrets.KINDS[k]}:{s}:{e}:{len(owners[v])}:{len(repos[v])}:{'live' if len(owners[v]) <= few else 'example'}" for s, k, e, v in spans))
+    return out
+
+
+def test_secret_verdicts_match_brute_force(spark):
+    """Copied examples of many owners beside values of one or two, planted with and without their context."""
+    pick = np.random.RandomState(12)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    fresh = lambda n: "".join(pick.choice(letters, n - 2)) + "7q"
+    examples, own = [fresh(24) for _ in range(4)], [fresh(20 + i) for i in range(12)]
+    forms = ["call {} now", 'token = "{}"', "url?sig={}&x=1", "path a/{}", "password: {}", "{}", "dup {0} {0}", "AKIA{}".replace("{}", "Q7" * 9) + " {}"]
+    rows = []
+    for i in range(160):
+        text = f"plain words {i} and more "
+        if i % 2:
+            text += forms[i // 2 % len(forms)].format(examples[i % 4])
+        if i % 3 == 0:
+            text += " " + forms[i // 3 % len(forms)].format(own[i % 12])
+        owner = f"o{i % 12}" if i % 3 == 0 else f"o{i % 25}"
+        rows.append((i, text, owner))
+    rows += [(500, "deadbeef" * 4, "o1"), (501, None, None), (502, "", "o2"), (502, "", "o2"), (503, "mail.a7b@example.com 10.0.0.1 v1.2.3 2024-01-02T10:00", "o3"), (504, "x" * 50_000 + " " + own[0], "o0"), (505, f"eyJ{own[1]}.eyJ{own[2]}.{own[3]}", "o1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r["doc_id"], r["verdicts"]) for r in secrets.secret_spans(docs).collect())
+    assert got == sorted(zip([d for d, _, _ in rows], plain_secrets([(d, t, o) for d, t, o in rows]), strict=True))
+    by = dict(got)
+    assert any("owned" in v and ":live" in v for v in by.values()) and any(":example" in v for v in by.values()) and "owned" not in by[503]
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact_live(docs).collect()}
+    assert not any(v in t for v in own for t in kept.values() if t) and any(v in t for v in examples for t in kept.values() if t)
+
+
+def test_secrets_of_odd_tables(spark, odd):
+    named = odd.withColumns({"_ff_rid": F.lit("r"), "hash": F.lit(1), "rid": F.lit(2), "owner": F.lit("o"), "_salt": F.lit(0), "f.g": F.lit(3)}).withColumnRenamed("text", "TEXT")
+    assert secrets.secret_spans(named).count() == len(ODD)
+    for docs in (named, odd.drop("source"), odd.select("text")):
+        got = secrets.redact_live(docs)
+        assert got.dtypes == docs.dtypes and got.count() == len(ODD)
+    alone = secrets.redact_live(spark.createDataFrame([("token: abc7defgh9",), ("a abc7defgh9 b",)], "text string"))
+    assert sorted(r["text"] for r in alone.collect()) == ["a [SECRET] b", "token: [SECRET]"]
+    assert secrets.secret_spans(odd.limit(0)).count() == 0 and secrets.redact_live(odd.limit(0)).count() == 0
+
+
 def test_shards_are_even_and_moves_few(spark, odd, small):
     many = spark.range(3001).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("é"))
     got = sharding.shard_documents(many, 24).collect()
