@@ -1,11 +1,13 @@
 """Toxicity scores from a bidirectional gated recurrent network, trained in numpy.
 
-A word's input vector has a word part and a character part: how far the word, and its
-character n-grams (with word borders), lean to toxic training texts, as clipped z-scores
-of document counts, and some random features.  Two gated recurrent networks read a window
-of words from both ends; attention pools their states; a logistic unit gives the window's
-probability.  A text's score is the highest over all overlapping windows of the whole
-text.  Training follows the highest window of each training text.
+A word's input vector is its learned embedding, the mean and the maximum of the learned
+embeddings of its character n-grams (with word borders), and its length.  One number of
+each embedding starts from how far the word or n-gram leans to toxic training texts (a
+clipped z-score of document counts), the others at random; all are trained with the
+network.  Two gated recurrent networks read a window of words from both ends; attention
+pools their states; a logistic unit gives the window's probability.  A text's score is the
+highest over all overlapping windows of the whole text.  Training follows the highest
+windows of each training text, found anew every few epochs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, worker_state
+from .common import id_and_text, map_whole_rows, text_position, worker_state
 from .langid import held_out
 
 WORD = re.compile(r"\w+")
@@ -36,9 +38,16 @@ class Settings:
     window: int = 32
     stride: int = 16
     hidden: int = 8
-    epochs: int = 10
-    batch: int = 32
-    rate: float = 0.01
+    word_size: int = 6
+    gram_size: int = 4
+    most_words: int = 30_000
+    most_grams: int = 40_000
+    steps: int = 600
+    searches: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75)  # shares of the steps at which the highest windows are found
+    batch: int = 64
+    rate: float = 0.02
+    embedding_rate: float = 0.003
+    toxic_weight: float = 1.0
     seed: int = 5
     threshold: float = 0.3
     kept_words: int = 300_000  # input vectors kept by a Python worker
@@ -50,41 +59,80 @@ def char_grams(word: str) -> set[str]:
 
 
 def _leanings(texts: list[list[str]], labels: np.ndarray, split, least: int, most: int) -> dict[str, float]:
-    """Clipped z-scores of how much more often than by chance a feature is in toxic texts."""
+    """Clipped z-scores of how much more often than by chance a feature is in toxic texts; 0 below 1.5."""
     all_, toxic = Counter(), Counter()
+    of = {w: split(w) for w in set().union(*texts)}
     for words, label in zip(texts, labels.tolist(), strict=True):
-        features = set().union(*map(split, set(words))) if words else set()
+        features = set().union(*map(of.__getitem__, set(words)))
         all_.update(features)
         if label:
             toxic.update(features)
     share = labels.mean() if len(labels) else 0.0
     z = {f: (toxic[f] - c * share) / np.sqrt(c * share * (1 - share) + 1) for f, c in all_.items() if c >= least}
-    kept = sorted((f for f in z if abs(z[f]) >= 1.5), key=lambda f: (-abs(z[f]), f))[:most]
-    return {f: float(np.tanh(z[f] / 4)) for f in kept}
+    kept = sorted(z, key=lambda f: (-abs(z[f]), f))[:most]
+    return {f: float(np.tanh(z[f] / 4)) if abs(z[f]) >= 1.5 else 0.0 for f in kept}
+
+
+class Embedding:
+    """Rows of learned numbers by name; row 0 stands for all others and stays zero."""
+
+    def __init__(self, leanings: dict[str, float], size: int, random: np.random.RandomState):
+        self.row = {name: i + 1 for i, name in enumerate(leanings)}
+        self.table = random.normal(0, 0.1, (len(leanings) + 1, size)).astype(np.float32)
+        self.table[1:, 0] = list(leanings.values())
+        self.table[0] = 0
+        self.squares = np.zeros((len(self.table), 1), np.float32)
+
+    def step(self, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
+        """Adagrad on the rows that occur, one rate per row."""
+        own, where = np.unique(rows, return_inverse=True)
+        total = np.zeros((len(own), grads.shape[1]), np.float32)
+        np.add.at(total, where, grads)
+        total[own == 0] = 0
+        self.squares[own] += (total * total).mean(axis=1, keepdims=True)
+        self.table[own] -= rate * total / (np.sqrt(self.squares[own]) + 1e-6)
 
 
 @dataclass
 class Inputs:
-    """Words to vectors; ``words`` and ``grams`` hold the leanings."""
+    """Words to vectors."""
 
-    words: dict[str, float]
-    grams: dict[str, float]
-    size: int = 8
+    words: Embedding
+    grams: Embedding
     most: int = 300_000
     kept: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
-    def vector(self, word: str) -> np.ndarray:
-        lean = sorted((self.grams[g] for g in char_grams(word) if g in self.grams), reverse=True)
-        out = np.zeros(self.size, np.float32)
-        out[0] = self.words.get(word, 0.0)
-        if lean:
-            out[1], out[2], out[3] = lean[0], sum(lean) / (len(word) + 2), lean[-1]
-            out[4] = lean[2] if len(lean) > 2 else 0.0
-        out[5] = min(len(word), 20) / 20
-        code = hash_word(word)
-        out[6], out[7] = (code & 255) / 255 - 0.5, (code >> 8 & 255) / 255 - 0.5
-        return out
+    @property
+    def size(self) -> int:
+        return self.words.table.shape[1] + 2 * self.grams.table.shape[1] + 1
+
+    def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the words, rows of their n-grams one after another, where each word's begin, lengths."""
+        get = self.grams.row.get
+        lists = [[r for g in char_grams(w) if (r := get(g))] or [0] for w in words]
+        many = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((r for x in lists for r in x), np.int64, int(many.sum()))
+        own = np.fromiter((self.words.row.get(w, 0) for w in words), np.int64, len(words))
+        return own, flat, np.cumsum(many) - many, np.array([min(len(w), 20) / 20 for w in words], np.float32)
+
+    def vectors(self, own: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if not len(own):
+            return np.zeros((0, self.size), np.float32)
+        g = self.grams.table[flat]
+        many = np.diff(np.append(starts, len(flat)))[:, None]
+        return np.concatenate([self.words.table[own], np.add.reduceat(g, starts) / many, np.maximum.reduceat(g, starts), lengths[:, None]], axis=1).astype(np.float32)
+
+    def learn(self, own: np.ndarray, flat: np.ndarray, starts: np.ndarray, grads: np.ndarray, rate: float) -> None:
+        """Send the gradients of words' vectors on to the embeddings."""
+        k, n = self.words.table.shape[1], self.grams.table.shape[1]
+        many = np.diff(np.append(starts, len(flat)))
+        g = self.grams.table[flat]
+        top = g == np.repeat(np.maximum.reduceat(g, starts), many, axis=0)
+        mean = np.repeat(grads[:, k : k + n] / many[:, None], many, axis=0)
+        ties = np.repeat(np.add.reduceat(top.astype(np.float32), starts), many, axis=0)
+        self.grams.step(flat, mean + top * np.repeat(grads[:, k + n : k + 2 * n], many, axis=0) / ties, rate)
+        self.words.step(own, grads[:, :k], rate)
 
     def positions(self, texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
         """Each word's row in the returned table; row 0 is padding."""
@@ -92,24 +140,19 @@ class Inputs:
             self.rows = np.zeros((1024, self.size), np.float32)
         if len(self.kept) > self.most:
             self.kept = {}
-        new = {w for t in texts for w in t if w not in self.kept}
+        new = list(dict.fromkeys(w for t in texts for w in t if w not in self.kept))
         need = len(self.kept) + len(new) + 1
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.size), np.float32)])
-        for w in new:
-            at = len(self.kept) + 1
-            self.rows[at] = self.vector(w)
-            self.kept[w] = at
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            first = len(self.kept) + 1
+            self.rows[first : first + len(some)] = self.vectors(*self.parts(some))
+            self.kept.update(zip(some, range(first, first + len(some)), strict=True))
         get = self.kept.__getitem__
         return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts], self.rows
 
 
-def hash_word(word: str) -> int:
-    import zlib
-
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
-
-
 def windows_of(rows: np.ndarray, window: int, stride: int) -> np.ndarray:
     """All windows over a text's words, padded with 0; a text has at least one."""
     count = max(1, -(-(len(rows) - window) // stride) + 1)
@@ -170,6 +213,7 @@ class Network:
         return pooled @ self.p["o"] + self.p["c"][0]
 
     def gradients(self, trace: dict, dlogit: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the parameters; those of the inputs are put into ``trace["dx"]``."""
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         both, s, w, pooled, x, k = trace["both"], trace["s"], trace["w"], trace["pooled"], trace["x"], self.h
         g["o"], g["c"] = dlogit @ pooled, np.array([dlogit.sum()], np.float32)
@@ -181,8 +225,9 @@ class Network:
         ds = de[:, :, None] * self.p["a"] * (1 - s * s)
         g["A"] = np.einsum("nti,ntk->ik", both, ds)
         dboth = dboth + ds @ self.p["A"].T
+        trace["dx"] = dx = np.zeros_like(x)
         for d, part in (("f", dboth[:, :, :k]), ("b", dboth[:, :, k:])):
-            u = self.p[f"U{d}"]
+            u, into = self.p[f"U{d}"], self.p[f"W{d}"].T
             dh = np.zeros((len(x), k), np.float32)
             for i, h, z, r, cand, m in reversed(trace["steps"][d]):
                 dh = dh + part[:, i]
@@ -196,6 +241,7 @@ class Network:
                 whole = np.concatenate([gates, dcand], axis=1)
                 g[f"W{d}"] += x[:, i].T @ whole
                 g[f"b{d}"] += whole.sum(axis=0)
+                dx[:, i] += whole @ into
                 dh = dh * (1 - m * z) + drh * r + gates @ u[:, : 2 * k].T
         return g
 
@@ -222,48 +268,90 @@ class Model:
             grid = np.concatenate(wins)
             for at in range(0, len(grid), 2048):
                 part = grid[at : at + 2048]
-                mask = (part > 0).astype(np.float32)
-                mask[:, 0] = 1
-                np.maximum.at(best, owner[at : at + 2048], self.network.forward(table[part], mask))
+                np.maximum.at(best, owner[at : at + 2048], self.network.forward(table[part], _mask(part)))
             start = stop
         return _sigmoid(best.astype(np.float64))
 
 
+def _highest(network: Network, table: np.ndarray, grid: np.ndarray, owner: np.ndarray, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The windows in order of text and falling score (or ``first``), and each one's place within its text."""
+    scores = first
+    if scores is None:
+        scores = np.concatenate([network.forward(table[part], _mask(part)) for part in (grid[at : at + 4096] for at in range(0, len(grid), 4096))])
+    order = np.lexsort((-scores, owner))
+    begins = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))
+    return order, np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+
+
+def _mask(grid: np.ndarray) -> np.ndarray:
+    mask = (grid > 0).astype(np.float32)
+    mask[:, 0] = 1
+    return mask
+
+
 def train(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model | None:
-    """Fit on the given rows; None unless both labels occur."""
+    """Fit on the given rows; None unless both labels occur.
+
+    A toxic text trains its highest window; another one its two highest and one more, as
+    all its windows aren't toxic.  The first search takes the words' leanings.
+    """
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return None
     split = [WORD.findall(t.lower()) for t in texts]
-    words = _leanings(split, y, lambda w: (w,), 3, 20_000)
-    grams = _leanings(split, y, char_grams, 3, 40_000)
-    inputs = Inputs(words, grams, most=settings.kept_words)
+    pick = np.random.RandomState(settings.seed)
+    inputs = Inputs(Embedding(_leanings(split, y, lambda w: (w,), 3, settings.most_words), settings.word_size, pick), Embedding(_leanings(split, y, char_grams, 3, settings.most_grams), settings.gram_size, pick), settings.kept_words)
     network = Network(inputs.size, settings.hidden, settings.seed)
-    rows, table = inputs.positions(split)
-    wins = [windows_of(r, settings.window, settings.stride) for r in rows]
+    known = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in split for w in t))}
+    own, flat, starts, lengths = inputs.parts(["", *known])
+    many = np.diff(np.append(starts, len(flat)))
+    wins = [windows_of(np.array([known[w] for w in t], np.int64), settings.window, settings.stride) for t in split]
+    grid, owner = np.concatenate(wins), np.repeat(np.arange(len(y)), [len(w) for w in wins])
+
+    def vectors(words: np.ndarray) -> tuple[np.ndarray, ...]:
+        size = many[words]
+        begin = np.cumsum(size) - size
+        return own[words], flat[np.repeat(starts[words] - begin, size) + np.arange(size.sum())], begin, lengths[words]
+
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}
-    pick, step = np.random.RandomState(settings.seed), 0
-    for _ in range(settings.epochs):
-        order = pick.permutation(len(y))
-        for at in range(0, len(order), settings.batch):
-            docs = order[at : at + settings.batch]
-            grid = np.concatenate([wins[d] for d in docs])
-            owner = np.repeat(np.arange(len(docs)), [len(wins[d]) for d in docs])
-            mask = (grid > 0).astype(np.float32)
-            mask[:, 0] = 1
-            logits = network.forward(table[grid], mask)
-            first = np.lexsort((-logits, owner))
-            top = first[np.concatenate([[True], owner[first][1:] != owner[first][:-1]])]
+    step, k, searches = 0, settings.word_size, [round(s * settings.steps) for s in settings.searches]
+    while step < settings.steps:
+        if searches and step >= searches[0]:
+            table = inputs.vectors(own, flat, starts, lengths)
+            table[0] = 0
+            lean = table[:, 0] + table[:, k] + table[:, k + settings.gram_size] if step == 0 else None
+            searches = [s for s in searches if s > step]
+            order, place = _highest(network, table, grid, owner, None if lean is None else np.sort(lean[grid], axis=1)[:, -3:].sum(axis=1))
+            top = order[place == 0]
+            toxic = top[y[owner[top]] == 1]
+            clean = order[(place < 2) & (y[owner[order]] == 0)]
+            spare = np.flatnonzero(y[owner] == 0)
+        used = np.concatenate([toxic, clean, pick.choice(spare, min(len(spare), len(clean) // 4), replace=False)])
+        used = used[pick.permutation(len(used))]
+        for at in range(0, len(used), settings.batch):
+            some = used[at : at + settings.batch]
+            words, where = np.unique(grid[some], return_inverse=True)
+            where = where.reshape(len(some), -1)
+            parts = vectors(words)
+            x = inputs.vectors(*parts)
+            x[words == 0] = 0
             trace: dict = {}
-            logit = network.forward(table[grid[top]], mask[top], trace)
-            dlogit = ((_sigmoid(logit) - y[docs]) / len(docs)).astype(np.float32)
+            logit = network.forward(x[where], _mask(grid[some]), trace)
+            label = y[owner[some]]
+            dlogit = ((_sigmoid(logit) - label) * np.where(label == 1, settings.toxic_weight, 1) / len(some)).astype(np.float32)
             step += 1
-            for k, g in network.gradients(trace, dlogit).items():
-                m, v = moment[k]
+            slower = max(0.1, 1 - step / settings.steps)
+            for name, g in network.gradients(trace, dlogit).items():
+                m, v = moment[name]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                network.p[k] -= (settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    inputs.kept, inputs.rows = {}, None
+                network.p[name] -= (settings.rate * slower * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            back = np.zeros_like(x)
+            np.add.at(back, where.ravel(), trace["dx"].reshape(-1, x.shape[1]))
+            back[words == 0] = 0
+            inputs.learn(*parts[:3], back, settings.embedding_rate * slower)
+            if step == settings.steps:
+                break
     return Model(inputs, network, settings)
 
 
@@ -271,12 +359,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     """Fit on a bounded sample of labelled rows that aren't held out.
 
     The sample's identifiers are drawn from ``labels`` in hash order; only their texts are
-    read.  Rows with a null label or text and longer texts than ``most_chars`` don't count.
+    read, one of each identifier (the least in order), so the model is the same each time.
+    Rows with a null label or text and longer texts than ``most_chars`` don't count.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     drawn = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.most_rows)
-    rows = id_and_text(docs).where((F.length("text") <= settings.most_chars) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id").limit(2 * settings.most_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    known_texts = id_and_text(docs).where((F.length("text") <= settings.most_chars) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id")
+    rows = known_texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], settings)
 
 
@@ -311,8 +401,11 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.3)
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose ``text`` scores below ``threshold``, with all their columns."""
-    at = docs.columns.index("text")
+    """The rows of ``docs`` whose ``text`` scores below ``threshold``, with all their columns.
+
+    Rows alike stay or go together; null text is empty; identifiers aren't read.
+    """
+    at = text_position(docs)
     shared = _broadcast(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,4 +415,4 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.3) ->
             scores = here.scores(texts) if here and texts else np.zeros(len(texts))
             yield batch.filter(pa.array(scores < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole_rows(docs, run)

@@ -595,6 +595,74 @@ def test_toxicity_finds_words_and_prefixes(spark):
     assert toxicity.train([], []) is None
 
 
+def test_scores_are_the_highest_of_all_windows():
+    """Brute force: every word's vector, every window's logit, one at a time."""
+    pick = np.random.RandomState(9)
+    words = ["".join(pick.choice(list("abcdeiou"), 4)) for _ in range(60)]
+    texts = [" ".join(pick.choice(words, n)) for n in (1, 5, 31, 32, 33, 48, 49, 300)] + ["", "!!"]
+    model = toxicity.train([*texts, *texts], [i % 2 for i in range(2 * len(texts))], toxicity.Settings(steps=20))
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        own = text.split() if text != "!!" else []
+        logits = []
+        for start in range(0, max(1, len(own)), 16):
+            if start and start + 16 >= len(own):
+                break  # the window before holds all of this one
+            part = own[start : start + 32]
+            x, mask = np.zeros((1, 32, model.inputs.size), np.float32), np.zeros((1, 32), np.float32)
+            mask[0, 0] = 1
+            for i, w in enumerate(part):
+                x[0, i], mask[0, i] = model.inputs.vectors(*model.inputs.parts([w]))[0], 1
+            logits.append(float(model.network.forward(x, mask)[0]))
+        assert score == pytest.approx(1 / (1 + np.exp(-max(logits))), abs=1e-4)
+
+
+def test_embeddings_learn_their_gradients():
+    """What reaches the n-grams and words is the difference quotient of the vectors."""
+    pick = np.random.RandomState(3)
+    inputs = toxicity.Inputs(toxicity.Embedding({"abc": 0.1, "bcd": -0.2}, 3, pick), toxicity.Embedding({g: 0.1 * i for i, g in enumerate(["^ab", "abc", "bcd", "cd$"])}, 2, pick))
+    own, flat, starts, lengths = inputs.parts(["abc", "bcd", "xyz"])
+    weights = pick.normal(size=(3, inputs.size)).astype(np.float32)
+    seen = {}
+    for e, name in ((inputs.words, "words"), (inputs.grams, "grams")):
+        def keep(rows, grads, rate, name=name, e=e):
+            total = np.zeros_like(e.table)
+            np.add.at(total, rows, grads)
+            seen[name] = total
+        e.step = keep
+    inputs.learn(own, flat, starts, weights, 0.1)
+    for e, name in ((inputs.words, "words"), (inputs.grams, "grams")):
+        for at in [(1, 0), (2, 1)]:
+            kept = e.table[at]
+            e.table[at] = kept + 1e-3
+            up = float((inputs.vectors(own, flat, starts, lengths) * weights).sum())
+            e.table[at] = kept - 1e-3
+            down = float((inputs.vectors(own, flat, starts, lengths) * weights).sum())
+            e.table[at] = kept
+            assert seen[name][at] == pytest.approx((up - down) / 2e-3, rel=2e-2, abs=2e-3)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """sf0.1's labels: some toxic texts have lost their words to repetition or capitals."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    known = docs.join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").where(langid.held_out(F.col("doc_id")))
+    got = [(r["toxic"], r["predicted"]) for r in toxicity.score_toxicity(known, model).join(known.select("doc_id", "toxic"), "doc_id").collect()]
+    toxic = [p for t, p in got if t == 1]
+    clean = [p for t, p in got if t == 0]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.015 * len(clean)
+
+
+def test_toxicity_of_odd_tables(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(odd, labels)
+    assert toxicity.score_toxicity(odd, model).count() == len(ODD) and toxicity.score_toxicity(odd.limit(0), model).count() == 0
+    named = odd.withColumnRenamed("text", "Text").withColumns({"score": F.lit(1), "a.b": F.lit(2)})
+    kept = toxicity.drop_toxic(named, None)
+    assert kept.dtypes == named.dtypes and kept.count() == len(ODD)
+    assert toxicity.drop_toxic(odd.limit(0), model).count() == 0 and toxicity.fit_toxicity(odd, labels.limit(0)) is None
+
+
 def test_gradients_agree_with_differences():
     net = toxicity.Network(4, 3, 0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -603,6 +671,12 @@ def test_gradients_agree_with_differences():
     trace = {}
     net.forward(x, mask, trace)
     grads = net.gradients(trace, np.array([1.0, -0.5]))
+    kept = x[0, 2, 1]
+    x[0, 2, 1] = kept + 1e-4
+    up = float(net.forward(x, mask) @ np.array([1.0, -0.5]))
+    x[0, 2, 1] = kept - 1e-4
+    assert trace["dx"][0, 2, 1] == pytest.approx((up - float(net.forward(x, mask) @ np.array([1.0, -0.5]))) / 2e-4, rel=2e-2, abs=2e-4)
+    x[0, 2, 1] = kept
     loss = lambda: float(net.forward(x, mask) @ np.array([1.0, -0.5]))
     for name, value in net.p.items():
         at = tuple(0 for _ in value.shape)
