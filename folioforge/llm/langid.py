@@ -107,15 +107,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_prototypes(docs: DataFrame, space: Space = Space()) -> dict[str, np.ndarray]:
+def fit_prototypes(docs: DataFrame, space: Space = Space(), most: int = 200_000) -> dict[str, np.ndarray]:
     """A prototype per language from every row of ``docs`` (text, lang) with a language.
 
-    A task bundles what it has seen of a language and emits one row per dimension; the
-    sums over tasks are all that reaches the driver: languages x dimensions numbers.
+    A task bundles what it has seen of a language, ``most`` n-grams at a time, and emits
+    one row per dimension; the sums over tasks are all that reaches the driver: languages
+    x dimensions numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, dict[int, int]] = {}
+        totals: dict[str, np.ndarray] = {}
+
+        def add(lang: str) -> None:
+            table = seen.pop(lang)
+            part = bundle(np.fromiter(table.keys(), np.int64, len(table)), np.fromiter(table.values(), np.int64, len(table)), space)
+            totals[lang] = totals.get(lang, 0) + part
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -123,8 +130,11 @@ def fit_prototypes(docs: DataFrame, space: Space = Space()) -> dict[str, np.ndar
                 table = seen.setdefault(lang, {})
                 for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
                     table[k] = table.get(k, 0) + c
-        for lang, table in seen.items():
-            total = bundle(np.fromiter(table.keys(), np.int64, len(table)), np.fromiter(table.values(), np.int64, len(table)), space)
+                if len(table) > most:
+                    add(lang)
+        for lang in list(seen):
+            add(lang)
+        for lang, total in totals.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * space.dimensions), "at": pa.array(range(space.dimensions), pa.int32()), "value": pa.array(np.rint(total).astype(np.int64))})
 
     slim = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")

@@ -7,10 +7,12 @@ to the next shards that have room.  With a load factor of 1 the bounds are the t
 whole numbers to rows / shards, so counts differ by one at most while a row moves only if
 its shard overflows.
 
-All of it is DataFrame expressions.  Rows get their rank along the ring by a count per
-slice of the ring and a row number within the slice; the decisions are taken on counts per
-arc between virtual nodes (shards x virtual nodes rows at any corpus size) and looked up
-by arc and rank.
+All of it is DataFrame expressions.  Rows and virtual nodes are range-partitioned along
+the ring; a row's rank is what lies in the slices before and its number within its own.
+Rows at one position, as of a much repeated key, are ordered by a hash of their place in
+the input, so slices part them too.  The decisions are taken on counts per arc between
+virtual nodes (shards x virtual nodes rows at any corpus size) and looked up by arc and
+rank.
 """
 
 from __future__ import annotations
@@ -27,33 +29,33 @@ def ring(spark, shards: int, virtual_nodes: int) -> DataFrame:
     return rows.select(F.xxhash64(F.lit("virtual node"), "owner", "copy").alias("pos"), "owner")
 
 
-def shard_by_ring(rows: DataFrame, key: Column, shards: int, virtual_nodes: int = 128, load_factor: float = 1.0, slices: int = 4096) -> DataFrame:
+def shard_by_ring(rows: DataFrame, key: Column, shards: int, virtual_nodes: int = 128, load_factor: float = 1.0, slices: int | None = None) -> DataFrame:
     """Add ``shard`` int, ``slot`` long (gapless from 0 in each shard), ``home_shard`` int.
 
     ``load_factor`` above 1 bounds each shard's rows by ceil(factor x rows / shards), which
     moves fewer rows.  Keys with one hash, null among them, stand at one place in any
-    order.  ``slices`` (a power of two) bounds how many rows one task ranks: rows / slices.
-    ``rows`` is stored first, with the position of each key.
+    order.  ``slices`` (by default the session's shuffle partitions) says into how many
+    parts the ring is cut; a task ranks about rows / slices.  ``rows`` is stored first.
     """
     if shards < 1 or virtual_nodes < 1 or load_factor < 1:
         raise ValueError("at least one shard, one virtual node and a load factor of 1")
     spark = rows.sparkSession
-    columns = rows.columns
-    shift = 64 - (slices.bit_length() - 1)
-    keyed = materialize(rows.select(F.struct(*columns).alias("row"), F.xxhash64(key).alias("pos")), "ring-rows")
     nodes = ring(spark, shards, virtual_nodes)
-    marked = keyed.select("row", "pos", F.lit(None).cast("int").alias("owner")).unionByName(nodes.select(F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), "pos", "owner")).withColumn("slice", F.shiftright("pos", shift).cast("int"))
+    # stored with a number each, so that the sampling and the sorting see the same
+    keyed = materialize(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.xxhash64(key).alias("pos"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")), "ring-rows")
+    marked = keyed.select("row", "pos", "tie", F.lit(None).cast("int").alias("owner")).unionByName(nodes.select(F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), "pos", F.lit(0).cast("long").alias("tie"), "owner"))
+    order = ["pos", F.col("owner").asc_nulls_first(), "tie"]  # a node comes after the keys at its own position
+    cut = marked.repartitionByRange(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    cut = materialize(cut.withColumn("slice", F.spark_partition_id()), "ring-slices")
 
     # how many rows and virtual nodes come before each slice; at most `slices` rows
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slim = keyed.select(F.shiftright("pos", shift).cast("int").alias("slice"), F.lit(0).alias("node")).unionByName(nodes.select(F.shiftright("pos", shift).cast("int").alias("slice"), F.lit(1).alias("node")))
-    per_slice = slim.groupBy("slice").agg(F.count(F.lit(1)).alias("all"), F.sum("node").alias("nodes"))
+    per_slice = cut.groupBy("slice").agg(F.count(F.lit(1)).alias("all"), F.count("owner").alias("nodes"))
     per_slice = per_slice.select("slice", F.coalesce(F.sum(F.col("all") - F.col("nodes")).over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("nodes").over(before), F.lit(0)).alias("nodes_before"))
 
-    # rank along the ring and arc; a node comes after the keys at its own position
-    along = Window.partitionBy("slice").orderBy("pos", F.col("owner").asc_nulls_first())
+    along = Window.partitionBy("slice").orderBy(*order)
     running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = marked.withColumn("nth", F.row_number().over(along)).withColumn("seen", F.count("owner").over(running)).join(F.broadcast(per_slice), "slice")
+    ranked = cut.withColumn("nth", F.row_number().over(along)).withColumn("seen", F.count("owner").over(running)).join(F.broadcast(per_slice), "slice")
     ranked = ranked.where("owner IS NULL").select("row", (F.col("nodes_before") + F.col("seen")).alias("arc"), (F.col("rows_before") + F.col("nth") - F.col("seen") - 1).alias("rank"))
     ranked = materialize(ranked, "ring-ranks")  # read for the counts and for the placing
     plan = _plan(nodes, ranked, shards, virtual_nodes, load_factor)

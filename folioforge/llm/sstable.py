@@ -212,17 +212,26 @@ def _open(path: str):
 MANIFEST = "shard int, path string, entries long, tokens long"
 
 
+def shard_count(docs: DataFrame, shard_bytes: int = 256 * 2**20) -> int:
+    """A shard per ``shard_bytes`` of the planner's size estimate, no fewer than shuffle partitions."""
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-planned // shard_bytes) if planned < 2**60 else 1  # beyond: the planner doesn't know
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
+
+
 def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shards: int | None = None, keeps_blank: bool = False) -> DataFrame:
     """Encode all documents and write shards in ascending ``doc_id`` order below ``path``.
 
+    ``shards``: how many; by default ``shard_count``, which follows the table's size.
+
     Returns the stored manifest, one row per shard.  Nulls come first; rows with the same
     identifier keep one entry each.  A task names its file by attempt and only attempts
     that Spark commits appear in the manifest, so lost or repeated tasks do no harm.
     Ranges are split by identifier and text hash, so a much repeated identifier doesn't
     make one shard.
     """
-    spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = id_and_text(docs)
+    n = shards or shard_count(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = encoder(tokenizer_path, keeps_blank), np.asarray([end_id], "<u4").tobytes()
@@ -245,7 +254,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "entries": [writer.entries], "tokens": [writer.tokens]})
 
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    rows = id_and_text(docs).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
     return materialize(rows.mapInArrow(run, MANIFEST), "token-manifest")
 
 

@@ -150,6 +150,57 @@ def test_packing_is_near_the_lower_bound(spark):
         assert max(f + m for _, _, m, f, _ in packing.plan_best_fit(counts, score=score)) <= least + 1
 
 
+def _clashing(df):
+    """Names that operators use themselves, one with a dot, and the text under another case."""
+    extra = ["node", "key", "hash", "id", "none", "row", "rid", "owner", "salts", "_salt", "_key", "_part", "piece", "length", "stratum", "words", "item_id", "pos", "tie", "slice", "shard", "score", "toxic", "quality", "start", "_ff_rid", "_ff_found", "_ff_spans", "c0", "p.q"]
+    taken = {c.lower() for c in df.columns}
+    return df.withColumns({c: F.lit("clash") for c in extra if c not in taken}).withColumnRenamed("text", "TEXT")
+
+
+LABELS = "doc_id long, quality int, toxic int, text string, lang string"
+OPERATORS = {
+    "packing": lambda d, lab, b: packing.pack_documents(d, BYTE),
+    "simhash": lambda d, lab, b: simhash.near_duplicate_groups(d),
+    "decontaminate": lambda d, lab, b: decontaminate.contaminations(d, b),
+    "sstable": lambda d, lab, b: sstable.store_and_read_tokens(d, WORD),
+    "quality": lambda d, lab, b: quality.judge_quality(d, lab),
+    "langid": lambda d, lab, b: langid.identify_languages(d),
+    "secrets": lambda d, lab, b: secrets.secret_spans(d),
+    "sharding": lambda d, lab, b: sharding.shard_documents(d),
+    "toxicity": lambda d, lab, b: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, lab)),
+    "drop_toxic": lambda d, lab, b: toxicity.drop_toxic(d, toxicity.fit_toxicity(d, lab)),
+    "keep_one_of_each": lambda d, lab, b: simhash.keep_one_of_each(d),
+    "drop_contaminated": lambda d, lab, b: decontaminate.drop_contaminated(d, b),
+    "redact_live": lambda d, lab, b: secrets.redact_live(d),
+}
+#: Rows that come out of ODD; packing has two pieces more for each 1024 ids of the long text.
+ROWS = {"decontaminate": 2, "keep_one_of_each": 5, "drop_contaminated": 6}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators_on_odd_and_empty_tables(spark, odd, name):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names, empty tables."""
+    labels = spark.createDataFrame([(1, 1, 0, "t", "l"), (3, 1, 1, "t", "l"), (3, 0, 0, "t", "l"), (None, None, 1, None, None), (5, None, None, "t", "l")], LABELS)
+    bench = spark.createDataFrame([(7, "one two three four five six", 1), (None, None, None), (8, "", 3)], "item_id long, text string, doc_id long")
+    clash = _clashing(odd)
+    out = OPERATORS[name](clash, labels, bench)
+    n = out.count()
+    assert n == ROWS.get(name, len(ODD)) if name != "packing" else n > len(ODD)
+    if name in ("drop_toxic", "keep_one_of_each", "drop_contaminated", "redact_live"):
+        assert out.dtypes == clash.dtypes
+    for docs, lab, b in ((clash.limit(0), labels, bench), (clash.limit(0), labels.limit(0), bench.limit(0))):
+        empty = OPERATORS[name](docs, lab, b)
+        assert empty.count() == 0 and empty.columns == out.columns
+    allnull = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id long, text string, lang string, source string")
+    assert OPERATORS[name](allnull, labels, bench).count() == {"decontaminate": 0, "keep_one_of_each": 1}.get(name, 3)
+
+
+def test_chat_of_an_empty_and_a_clashing_table(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x"), (1, None, None, None, None), (1, 0, "user", "a", "x"), (None, None, None, None, None)], "conv_id long, turn long, role string, text string, segments string").withColumn("t", F.lit(1))
+    got = chat.conversation_digests(chat.format_conversations(turns)).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"]) for r in got) == [(0, 1), (1, 3)]
+
+
 def test_token_shards_round_trip(spark, odd):
     rows = sstable.store_and_read_tokens(odd, WORD).collect()
     assert len(rows) == len(ODD)
@@ -570,6 +621,53 @@ def test_shards_are_even_and_moves_few(spark, odd, small):
     assert sharding.shard_documents(odd).count() == len(ODD) and sharding.shard_documents(odd.limit(0)).count() == 0
 
 
+def plain_ring(positions, shards, copies, factor):
+    """Each row's shard by walking the ring row by row; ``positions`` maps a row to its place."""
+    import bisect
+
+    nodes = sorted(copies)
+    order = sorted(positions, key=lambda r: (positions[r], r))
+    home = {r: nodes[bisect.bisect_left(nodes, (positions[r], -1)) % len(nodes)][1] for r in order}
+    n = len(order)
+    bound = [-(-n * factor // shards) if factor > 1 else n // shards + (s < n % shards) for s in range(shards)]
+    load, out, over = [0] * shards, {}, []
+    for r in order:
+        if load[home[r]] < bound[home[r]]:
+            load[home[r]] += 1
+            out[r] = home[r]
+        else:
+            over.append(r)
+    for r in over:
+        at = bisect.bisect_left(nodes, (positions[r], -1))
+        s = next(o for i in range(len(nodes)) if load[o := nodes[(at + i) % len(nodes)][1]] < bound[o])
+        load[s] += 1
+        out[r] = s
+    return out, home, load
+
+
+@pytest.mark.parametrize("factor", [1.0, 1.2])
+def test_ring_matches_a_plain_one(spark, factor):
+    rows = spark.range(700).selectExpr("id AS n", "IF(id < 150, NULL, id) AS k")
+    places = {r["n"]: r["p"] for r in rows.select("n", F.xxhash64("k").alias("p")).collect()}
+    nodes = [(r["pos"], r["owner"]) for r in sharding.ring(spark, 5, 8).collect()]
+    got = sharding.shard_by_ring(rows, F.col("k"), 5, 8, factor, slices=16).collect()
+    out, home, load = plain_ring(places, 5, nodes, factor)
+    assert Counter(r["shard"] for r in got) == {s: n for s, n in enumerate(load) if n}
+    assert all(r["home_shard"] == home[r["n"]] for r in got)
+    one = [r for r in got if r["k"] is not None]  # which of the rows at one place go on is open
+    moved = Counter((places[r["n"]], r["shard"]) for r in got)
+    assert moved == Counter((places[n], s) for n, s in out.items()) and len(one) == 550
+
+
+def test_a_hot_key_is_dealt_over_the_slices(spark, monkeypatch):
+    kept = []
+    plain = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, label: kept.append((label, out := plain(df, label))) or out)
+    sharding.shard_by_ring(spark.range(4000).selectExpr("IF(id % 2 = 0, NULL, id) AS k", "0 AS pos"), F.col("k"), 4, 8, slices=20).count()
+    sizes = [r["count"] for r in dict(kept)["ring-slices"].groupBy("slice").count().collect()]
+    assert max(sizes) < 3 * 4032 / 20
+
+
 def test_toxicity_finds_words_and_prefixes(spark):
     pick = np.random.RandomState(2)
     words = ["".join(pick.choice(list("abcdeiou"), 5)) for _ in range(400)]
