@@ -13,9 +13,9 @@ windows of each training text, found anew every few epochs.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ class Settings:
     steps: int = 600
     searches: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75)  # shares of the steps at which the highest windows are found
     batch: int = 64
-    rate: float = 0.02
+    rate: float = 0.01
     embedding_rate: float = 0.003
     toxic_weight: float = 1.0
     seed: int = 5
@@ -53,33 +53,64 @@ class Settings:
     kept_words: int = 300_000  # input vectors kept by a Python worker
 
 
-def char_grams(word: str) -> set[str]:
-    marked = f"^{word}$"
-    return {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-
-
-def _leanings(texts: list[list[str]], labels: np.ndarray, split, least: int, most: int) -> dict[str, float]:
+def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 3-, 4- and 5-grams of the words with borders, and each one's word, in order of words."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    points = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # points from here to the word's end
+    value, hashes, owners = points.copy(), [], []
+    for n in range(2, 6):
+        reach = max(0, len(points) - n + 1)
+        value[:reach] = value[:reach] * np.uint64(0x9E3779B97F4A7C15) + points[len(points) - reach :]
+        if n >= 3:
+            at = np.flatnonzero(room >= n)
+            hashes.append(value[at] ^ (value[at] >> np.uint64(29)) ^ np.uint64(n))
+            owners.append(word[at])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(hashes)[order], owner[order]
+
+
+def _leaning(all_: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     """Clipped z-scores of how much more often than by chance a feature is in toxic texts; 0 below 1.5."""
-    all_, toxic = Counter(), Counter()
-    of = {w: split(w) for w in set().union(*texts)}
-    for words, label in zip(texts, labels.tolist(), strict=True):
-        features = set().union(*map(of.__getitem__, set(words)))
-        all_.update(features)
-        if label:
-            toxic.update(features)
-    share = labels.mean() if len(labels) else 0.0
-    z = {f: (toxic[f] - c * share) / np.sqrt(c * share * (1 - share) + 1) for f, c in all_.items() if c >= least}
-    kept = sorted(z, key=lambda f: (-abs(z[f]), f))[:most]
-    return {f: float(np.tanh(z[f] / 4)) if abs(z[f]) >= 1.5 else 0.0 for f in kept}
+    z = (toxic - all_ * share) / np.sqrt(all_ * share * (1 - share) + 1)
+    return np.where(np.abs(z) >= 1.5, np.tanh(z / 4), 0.0)
+
+
+def _features(texts: list[list[str]], labels: np.ndarray, least: int, most_words: int, most_grams: int) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+    """Leanings of the words, and hashes and leanings of the n-grams, that are in ``least`` texts or more."""
+    share = float(labels.mean())
+    words = list(dict.fromkeys(w for t in texts for w in t))
+    number = {w: i for i, w in enumerate(words)}
+    known, where = np.unique((grams := char_grams(words))[0], return_inverse=True)
+    ends = np.searchsorted(grams[1], np.arange(len(words) + 1))
+    seen = {k: np.zeros((2, n), np.int64) for k, n in (("words", len(words)), ("grams", len(known)))}
+    for t, label in zip(texts, labels.tolist(), strict=True):
+        own = np.fromiter({number[w] for w in t}, np.int64)
+        size = ends[own + 1] - ends[own]
+        inside = np.unique(where[np.repeat(ends[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        for k, at in (("words", own), ("grams", inside)):
+            seen[k][0, at] += 1
+            seen[k][1, at] += int(label)
+    picked = {}
+    for k, most in (("words", most_words), ("grams", most_grams)):
+        lean = _leaning(seen[k][0], seen[k][1], share)
+        # the strongest first, then the most frequent; then as they come
+        order = np.lexsort((-seen[k][0], -np.abs(lean)))
+        at = order[seen[k][0][order] >= least][:most]
+        picked[k] = (at, lean[at])
+    at, lean = picked["grams"]
+    order = np.argsort(known[at])
+    return {words[i]: float(v) for i, v in zip(*picked["words"], strict=True)}, known[at][order], lean[order]
 
 
 class Embedding:
-    """Rows of learned numbers by name; row 0 stands for all others and stays zero."""
+    """Rows of learned numbers; row 0 stands for all features that have none and stays zero."""
 
-    def __init__(self, leanings: dict[str, float], size: int, random: np.random.RandomState):
-        self.row = {name: i + 1 for i, name in enumerate(leanings)}
+    def __init__(self, leanings: np.ndarray, size: int, random: np.random.RandomState):
         self.table = random.normal(0, 0.1, (len(leanings) + 1, size)).astype(np.float32)
-        self.table[1:, 0] = list(leanings.values())
+        self.table[1:, 0] = leanings
         self.table[0] = 0
         self.squares = np.zeros((len(self.table), 1), np.float32)
 
@@ -97,6 +128,8 @@ class Embedding:
 class Inputs:
     """Words to vectors."""
 
+    word_row: dict[str, int]
+    gram_keys: np.ndarray  # ascending; row i + 1 of the table is the i-th one's
     words: Embedding
     grams: Embedding
     most: int = 300_000
@@ -109,12 +142,20 @@ class Inputs:
 
     def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the words, rows of their n-grams one after another, where each word's begin, lengths."""
-        get = self.grams.row.get
-        lists = [[r for g in char_grams(w) if (r := get(g))] or [0] for w in words]
-        many = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((r for x in lists for r in x), np.int64, int(many.sum()))
-        own = np.fromiter((self.words.row.get(w, 0) for w in words), np.int64, len(words))
-        return own, flat, np.cumsum(many) - many, np.array([min(len(w), 20) / 20 for w in words], np.float32)
+        hashes, owner = char_grams(words)
+        if len(self.gram_keys):
+            at = np.minimum(np.searchsorted(self.gram_keys, hashes), len(self.gram_keys) - 1)
+            found = self.gram_keys[at] == hashes
+        else:
+            at, found = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        rows, owner = at[found] + 1, owner[found]
+        bare = np.flatnonzero(np.bincount(owner, minlength=len(words)) == 0)  # such words have row 0
+        owner = np.concatenate([owner, bare])
+        order = np.argsort(owner, kind="stable")
+        flat = np.concatenate([rows, np.zeros(len(bare), np.int64)])[order]
+        own = np.fromiter(map(self.word_row.get, words, repeat(0)), np.int64, len(words))
+        lengths = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 20).astype(np.float32) / 20
+        return own, flat, np.searchsorted(owner[order], np.arange(len(words))), lengths
 
     def vectors(self, own: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if not len(own):
@@ -140,7 +181,7 @@ class Inputs:
             self.rows = np.zeros((1024, self.size), np.float32)
         if len(self.kept) > self.most:
             self.kept = {}
-        new = list(dict.fromkeys(w for t in texts for w in t if w not in self.kept))
+        new = sorted(set().union(*texts) - self.kept.keys())
         need = len(self.kept) + len(new) + 1
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.size), np.float32)])
@@ -300,7 +341,9 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
         return None
     split = [WORD.findall(t.lower()) for t in texts]
     pick = np.random.RandomState(settings.seed)
-    inputs = Inputs(Embedding(_leanings(split, y, lambda w: (w,), 3, settings.most_words), settings.word_size, pick), Embedding(_leanings(split, y, char_grams, 3, settings.most_grams), settings.gram_size, pick), settings.kept_words)
+    words, gram_keys, gram_leanings = _features(split, y, 3, settings.most_words, settings.most_grams)
+    word_table = Embedding(np.array(list(words.values())), settings.word_size, pick)
+    inputs = Inputs({w: i + 1 for i, w in enumerate(words)}, gram_keys, word_table, Embedding(gram_leanings, settings.gram_size, pick), settings.kept_words)
     network = Network(inputs.size, settings.hidden, settings.seed)
     known = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in split for w in t))}
     own, flat, starts, lengths = inputs.parts(["", *known])

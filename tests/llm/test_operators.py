@@ -714,10 +714,25 @@ def test_scores_are_the_highest_of_all_windows():
         assert score == pytest.approx(1 / (1 + np.exp(-max(logits))), abs=1e-4)
 
 
+def test_char_grams_are_those_of_each_word():
+    words = ["a", "abc", "", "ab", "xabcx", "é한", "abc"]
+    hashes, owner = toxicity.char_grams(words)
+    name = {}
+    for i, w in enumerate(words):
+        marked = f"^{w}$"
+        plain = sorted(marked[a : a + n] for n in (3, 4, 5) for a in range(len(marked) - n + 1))
+        assert (owner == i).sum() == len(plain)
+        alone = toxicity.char_grams([w])[0]
+        assert sorted(alone.tolist()) == sorted(hashes[owner == i].tolist())
+        name.setdefault(tuple(plain), set()).add(tuple(sorted(alone.tolist())))
+    assert all(len(v) == 1 for v in name.values()) and len({h for v in name.values() for h in v}) == len(name)
+
+
 def test_embeddings_learn_their_gradients():
     """What reaches the n-grams and words is the difference quotient of the vectors."""
     pick = np.random.RandomState(3)
-    inputs = toxicity.Inputs(toxicity.Embedding({"abc": 0.1, "bcd": -0.2}, 3, pick), toxicity.Embedding({g: 0.1 * i for i, g in enumerate(["^ab", "abc", "bcd", "cd$"])}, 2, pick))
+    keys = np.unique(toxicity.char_grams(["abc", "bcd"])[0])
+    inputs = toxicity.Inputs({"abc": 1, "bcd": 2}, keys, toxicity.Embedding(np.array([0.1, -0.2]), 3, pick), toxicity.Embedding(0.1 * np.arange(len(keys)), 2, pick))
     own, flat, starts, lengths = inputs.parts(["abc", "bcd", "xyz"])
     weights = pick.normal(size=(3, inputs.size)).astype(np.float32)
     seen = {}
