@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -28,10 +30,20 @@ def worker_state(key: object, make: Callable[[], T]) -> T:
     """
     if key not in _STATE:
         _STATE.clear()
+        _give_back()
         _STATE[key] = make()
     return _STATE[key]  # type: ignore[return-value]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; null text is empty.
 

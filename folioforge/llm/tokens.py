@@ -32,7 +32,7 @@ class PieceEncoder:
     become their own ids, as in the library.
     """
 
-    def __init__(self, path: str, keeps_blank: bool, table_size: int = 600_000, longest_kept: int = 48, plain_controls: bool = False):
+    def __init__(self, path: str, keeps_blank: bool, table_size: int = 400_000, longest_kept: int = 48, plain_controls: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,17 +84,22 @@ class PieceEncoder:
         """The ids of each text, four bytes an id."""
         cuts = [self._cut(t) for t in texts]
         kept = self.kept
-        if not (new := {p for c in cuts for p in c if p not in kept}):
-            return [b"".join(map(kept.__getitem__, c)) for c in cuts]
-        fresh = self._encode(list(new))
-        room = self.table_size - len(kept)
-        if room > 0:
-            short = [(p, b) for p, b in fresh.items() if len(p) <= self.longest_kept]
-            kept.update(short[:room])
-        return [b"".join([kept[p] if p in kept else fresh[p] for p in c]) for c in cuts]
+        new = set().union(*cuts).difference(kept)
+        if new:
+            room = max(0, self.table_size - len(kept))
+            kept.update(self._encode(list(new)))
+        out = [b"".join(map(kept.__getitem__, c)) for c in cuts]
+        if new:  # what is long or beyond the table's size goes again
+            short = 0
+            for p in new:
+                if len(p) > self.longest_kept or short >= room:
+                    del kept[p]
+                else:
+                    short += 1
+        return out
 
 
-def encoder(path: str, keeps_blank: bool, table_size: int = 600_000) -> PieceEncoder:
+def encoder(path: str, keeps_blank: bool, table_size: int = 400_000) -> PieceEncoder:
     """The worker's encoder for a file; made once, so its table serves every task."""
     return worker_state(("encoder", path, keeps_blank, table_size), lambda: PieceEncoder(path, keeps_blank, table_size))
 

@@ -50,7 +50,7 @@ class Settings:
     toxic_weight: float = 1.0
     seed: int = 5
     threshold: float = 0.3
-    kept_words: int = 300_000  # input vectors kept by a Python worker
+    kept_words: int = 150_000  # input vectors kept by a Python worker
 
 
 def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ class Inputs:
     gram_keys: np.ndarray  # ascending; row i + 1 of the table is the i-th one's
     words: Embedding
     grams: Embedding
-    most: int = 300_000
+    most: int = 150_000
     kept: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
@@ -300,7 +300,7 @@ class Model:
         start = 0
         while start < len(texts):  # a group of texts at a time bounds memory; a long text is one group
             held, stop = 0, start
-            while stop < len(texts) and held < 2_000_000:
+            while stop < len(texts) and held < 1_000_000:
                 held += len(texts[stop])
                 stop += 1
             rows, table = self.inputs.positions([WORD.findall(t.lower()) for t in texts[start:stop]])
