@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from folioforge.storage import materialize, scratch_path, shared_root
 
-__all__ = ["free_names", "hashed", "id_and_text", "join_spread", "map_whole_rows", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
+__all__ = ["free_names", "give_back", "hashed", "id_and_text", "join_spread", "map_whole_rows", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
 
 T = TypeVar("T")
 _STATE: dict[object, object] = {}
@@ -30,12 +30,12 @@ def worker_state(key: object, make: Callable[[], T]) -> T:
     """
     if key not in _STATE:
         _STATE.clear()
-        _give_back()
+        give_back()
         _STATE[key] = make()
     return _STATE[key]  # type: ignore[return-value]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     gc.collect()
     pa.default_memory_pool().release_unused()

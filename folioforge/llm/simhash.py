@@ -407,7 +407,7 @@ def _named_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.select("node", "component", "first", F.col("node_salts").alias("salts"))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8, chunk: int = 500) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8, chunk: int = 120) -> DataFrame:
     """(doc_id, text_hash, component, first) for texts whose shingle sets are ``similarity`` alike or more.
 
     Two texts of Jaccard similarity J agree in a MinHash value with probability J, wherever

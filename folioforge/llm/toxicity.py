@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_whole_rows, text_position, worker_state
+from .common import give_back, id_and_text, map_whole_rows, text_position, worker_state
 from .langid import held_out
 
 WORD = re.compile(r"\w+")
@@ -69,7 +69,7 @@ def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(word[at])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(hashes)[order], owner[order]
+    return np.concatenate(hashes)[order], owner[order].astype(np.int32)
 
 
 def _leaning(all_: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
@@ -83,8 +83,10 @@ def _features(texts: list[list[str]], labels: np.ndarray, least: int, most_words
     share = float(labels.mean())
     words = list(dict.fromkeys(w for t in texts for w in t))
     number = {w: i for i, w in enumerate(words)}
-    known, where = np.unique((grams := char_grams(words))[0], return_inverse=True)
-    ends = np.searchsorted(grams[1], np.arange(len(words) + 1))
+    hashes, owners = char_grams(words)
+    known, where = np.unique(hashes, return_inverse=True)
+    ends, where = np.searchsorted(owners, np.arange(len(words) + 1)), where.astype(np.int32)
+    del hashes, owners
     seen = {k: np.zeros((2, n), np.int64) for k, n in (("words", len(words)), ("grams", len(known)))}
     for t, label in zip(texts, labels.tolist(), strict=True):
         own = np.fromiter({number[w] for w in t}, np.int64)
@@ -348,8 +350,9 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
     known = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in split for w in t))}
     own, flat, starts, lengths = inputs.parts(["", *known])
     many = np.diff(np.append(starts, len(flat)))
-    wins = [windows_of(np.array([known[w] for w in t], np.int64), settings.window, settings.stride) for t in split]
+    wins = [windows_of(np.array([known[w] for w in t], np.int64), settings.window, settings.stride).astype(np.int32) for t in split]
     grid, owner = np.concatenate(wins), np.repeat(np.arange(len(y)), [len(w) for w in wins])
+    del wins, known, split
 
     def vectors(words: np.ndarray) -> tuple[np.ndarray, ...]:
         size = many[words]
@@ -410,7 +413,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     known_texts = id_and_text(docs).where((F.length("text") <= settings.most_chars) & (F.length("text") > 0)).join(F.broadcast(drawn), "doc_id")
     rows = known_texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], settings)
+    texts, said = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    del rows
+    model = train(texts, said, settings)
+    give_back()
+    return model
 
 
 def _broadcast(docs: DataFrame, model: Model | None):
