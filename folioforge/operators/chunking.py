@@ -138,19 +138,21 @@ def recursive_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> Dat
     return _per_text(docs, cut, _SPAN_SCHEMA, _SPAN_KIND)
 
 
-def hierarchical_chunks(docs: DataFrame, outlines: DataFrame, least: int = 20, fallback: int = 512, budget: int = 30) -> DataFrame:
+def hierarchical_chunks(docs: DataFrame, outlines: DataFrame, least: int = 20, fallback: int = 512, budget: int | None = None) -> DataFrame:
     """Blocks that a model outlined (doc_id, answer: JSON list of level, start, end).
 
     Spans are clamped to the text; blocks of ``least`` characters or fewer are dropped but
-    keep their number.  Documents beyond the first ``budget`` in order of identifier, and
-    those without a usable outline, fall back to fixed windows without overlap.
+    keep their number.  Documents without a usable outline, and with a ``budget`` those
+    beyond the first so many in order of identifier, fall back to fixed windows without
+    overlap.
     """
     from folioforge.functions.text import first_json
 
     asked = docs.select("doc_id", "text")
-    first = asked.select("doc_id").orderBy("doc_id").limit(budget)  # the budget is the feature: so many model calls
     spans = F.from_json(first_json(F.col("answer"), "array"), "array<struct<level: int, start: int, end: int>>")
-    found = asked.join(F.broadcast(first), "doc_id", "left_semi").join(outlines.select("doc_id", spans.alias("spans")), "doc_id")
+    if budget is not None:  # so many model calls
+        asked = asked.join(F.broadcast(asked.select("doc_id").orderBy("doc_id").limit(budget)), "doc_id", "left_semi")
+    found = asked.join(outlines.select("doc_id", spans.alias("spans")), "doc_id")
     rows = found.select("doc_id", "text", F.posexplode("spans").alias("ord", "s")).where(F.col("s.level").isin(1, 2))
     start, end = F.greatest(F.lit(0), F.least(F.col("s.start"), F.length("text"))), F.greatest(F.lit(0), F.least(F.col("s.end"), F.length("text")))
     rows = rows.select("doc_id", "ord", F.col("s.level").alias("layer"), start.alias("start_pos"), end.alias("end_pos"), "text").where(F.col("end_pos") > F.col("start_pos") + least)
@@ -169,11 +171,11 @@ NUMERIC = r"[^。\n]*(?:≥|≤|≮|≯|>=|<=|不[超大小]于|至少|最[大
 REFERENCE = r"(?i)见表\s*(\d+[-–]?\d*)|see\s+Table\s+(\d+[-–]?\d*)|见\s*§?(\d+(?:\.\d+)*)|see\s+§?(\d+(?:\.\d+)*)"
 
 
-def section_chunks(docs: DataFrame, section_max: int = 2048) -> DataFrame:
-    """Layer 1: cut before headings, trim, drop blanks, keep the first ``section_max`` characters."""
+def section_chunks(docs: DataFrame, section_max: int | None = None) -> DataFrame:
+    """Layer 1: cut before headings, trim, drop blanks; ``section_max`` keeps that many first characters only."""
     parts = F.filter(F.transform(F.split("text", SECTION), strip), lambda p: p != "")
     rows = docs.select("doc_id", F.posexplode(parts).alias("nth", "part"))
-    return rows.select(_id("L1", F.col("nth"), 3).alias("chunk_id"), "doc_id", "nth", F.substring("part", 1, section_max).alias("content"))
+    return rows.select(_id("L1", F.col("nth"), 3).alias("chunk_id"), "doc_id", "nth", (F.col("part") if section_max is None else F.substring("part", 1, section_max)).alias("content"))
 
 
 def packed_sentences(text: Column, most: int) -> Column:
@@ -216,18 +218,30 @@ def constraint_chunks(paragraphs: DataFrame, constraint_max: int = 256) -> DataF
 def cross_references(chunks: DataFrame) -> DataFrame:
     """(chunk_id, doc_id, place, target_id): the first other chunk whose head holds the reference.
 
-    References keep their order and repeats.  The join is by document.
+    References keep their order and repeats.  A reference is digits with dots or dashes, so
+    a head holds it where one of its runs of such characters does; the join is by document
+    and every part of such a run, of documents with references only.
     """
     group = lambda i: F.regexp_extract_all("content", F.lit(REFERENCE), F.lit(i))
+    # most chunks hold no mark of a reference at all
+    marked = chunks.where(F.contains("content", F.lit("见")) | F.contains(F.lower("content"), F.lit("see")))
     refs = F.transform(F.arrays_zip(*[group(i).alias(f"g{i}") for i in range(1, 5)]), lambda z: F.coalesce(*[F.nullif(z[f"g{i}"], F.lit("")) for i in range(1, 5)]))
-    asked = chunks.select("doc_id", "chunk_id", F.posexplode(refs).alias("place", "ref")).where("ref IS NOT NULL")
-    heads = chunks.select("doc_id", F.col("chunk_id").alias("target_id"), "ord", F.substring("content", 1, 100).alias("head"))
-    met = asked.join(heads, "doc_id").where(F.contains("head", F.col("ref")) & (F.col("target_id") != F.col("chunk_id")))
+    asked = marked.select("doc_id", "chunk_id", F.posexplode(refs).alias("place", "ref")).where("ref IS NOT NULL")
+    heads = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("chunk_id").alias("target_id"), "ord", F.substring("content", 1, 100).alias("head"))
+    runs = F.regexp_extract_all("head", F.lit(r"[0-9.\-–]+"), F.lit(0))
+    upto = lambda n: F.sequence(F.lit(1), n)
+    inside = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(upto(F.length(r)), lambda i: F.transform(upto(F.length(r) - i + 1), lambda n: F.substr(r, i, n)))))))
+    known = heads.select("doc_id", "target_id", "ord", F.explode(inside).alias("ref"))
+    met = asked.join(known, ["doc_id", "ref"]).where(F.col("target_id") != F.col("chunk_id"))
     return met.groupBy("chunk_id", "doc_id", "place").agg(F.min_by("target_id", "ord").alias("target_id"))
 
 
-def structured_chunks(docs: DataFrame, section_max: int = 2048, paragraph_max: int = 512, constraint_max: int = 256, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
-    """Three layers with parents, children, cross-references, semantic types and labels."""
+def structured_chunks(docs: DataFrame, section_max: int | None = None, paragraph_max: int = 512, constraint_max: int = 256, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """Three layers with parents, children, cross-references, semantic types and labels.
+
+    ``doc_id`` must be unique: chunks are named by it.  Whole texts are cut unless
+    ``section_max`` says otherwise.
+    """
     one = section_chunks(docs, section_max)
     two = paragraph_chunks(one, paragraph_max)
     three = constraint_chunks(two, constraint_max)

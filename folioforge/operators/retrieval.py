@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import tokens
 from folioforge.functions.vectors import dot, mean_direction
+from folioforge.storage import materialize
 
 from .lexicon import PROFILES, TAXONOMY, classify
 
@@ -35,37 +36,63 @@ def top_k(scored: DataFrame, k: int, by: str = "score", tie: str = "ord") -> Dat
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(token, chunk_id, ord, tf, dl), df(token, df), stats(n, avgdl)."""
+    """counted(chunk_id, ord, toks, dl), stats(n, avgdl); postings and document frequencies follow."""
 
-    postings: DataFrame
-    df: DataFrame
+    counted: DataFrame
     stats: DataFrame
     chunks: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(token, chunk_id, ord, dl, tf) of all tokens."""
+        return _postings(self.counted)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def stored(self) -> LexicalIndex:
+        """The same index with its token lists written once, for several searches."""
+        counted = materialize(self.counted, "lexical-index")
+        return LexicalIndex(counted, _corpus_stats(counted), counted.select("chunk_id", "ord"))
+
+
+def _postings(counted: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Token counts per chunk; ``only`` (token) is met before anything is shuffled."""
+    rows = counted.select("chunk_id", "ord", "dl", F.explode("toks").alias("token"))
+    if only is not None:
+        rows = rows.join(only, "token", "left_semi")
+    return rows.groupBy("token", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _corpus_stats(counted: DataFrame) -> DataFrame:
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+
 
 def lexical_index(chunks: DataFrame) -> LexicalIndex:
     """``chunks``: chunk_id, ord, content."""
     counted = chunks.select("chunk_id", "ord", tokens(F.coalesce("content", F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
-    postings = counted.select("chunk_id", "ord", "dl", F.explode("toks").alias("token")).groupBy("token", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    return LexicalIndex(postings, df, stats, chunks.select("chunk_id", "ord"))
+    return LexicalIndex(counted, _corpus_stats(counted), chunks.select("chunk_id", "ord"))
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int | None = 5, k1: float = 1.5, b: float = 0.75, fill: bool = False) -> DataFrame:
     """BM25 over the inverted index; query tokens count as often as they occur.
 
     Scores are rounded to nine places, so that ties don't hang on the order of summation.
-    Only postings of query tokens are read past the join.  ``fill`` tops up queries with
-    fewer than ``k`` matches by chunks that score 0, in order.
+    Where the queries' tokens are few, which is checked, the corpus's tokens meet them
+    before the first shuffle; only postings of query tokens go further in any case.
+    ``fill`` tops up queries with fewer than ``k`` matches by chunks that score 0, in order.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
     few = asked.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS  # reads the queries only
     small = F.broadcast if few else (lambda t: t)
+    wanted = asked.select("token").distinct()
+    postings = _postings(index.counted, small(wanted))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = index.df.join(small(asked.select("token").distinct()), "token", "left_semi").crossJoin(F.broadcast(index.stats)).select("token", idf.alias("idf"), "avgdl")
+    terms = df.crossJoin(F.broadcast(index.stats)).select("token", idf.alias("idf"), "avgdl")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = index.postings.join(small(asked.join(terms, "token")), "token").select("query_id", "chunk_id", "ord", (F.col("qtf") * F.col("idf") * tf).alias("part"))
+    weighted = postings.join(small(asked.join(terms, "token")), "token").select("query_id", "chunk_id", "ord", (F.col("qtf") * F.col("idf") * tf).alias("part"))
     scored = weighted.groupBy("query_id", "chunk_id", "ord").agg(F.round(F.sum("part"), 9).alias("score"))
     if k is None:
         return scored
@@ -102,9 +129,9 @@ def merge(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("dense", "bm25")
 
 
 def hybrid(vector_hits: DataFrame, lexical_hits: DataFrame, k: int = 5, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
-    """Weighted sum of min-max scaled lists, each recalled with ``recall(k)`` rows."""
+    """Weighted sum of min-max scaled lists, each recalled with ``recall(k)`` rows; rounded as in ``bm25``."""
     both = merge(min_max(vector_hits), min_max(lexical_hits))
-    return top_k(both.withColumn("score", weights[0] * F.col("dense") + weights[1] * F.col("bm25")), k)
+    return top_k(both.withColumn("score", F.round(weights[0] * F.col("dense") + weights[1] * F.col("bm25"), 9)), k)
 
 
 def recall(k: int) -> int:
@@ -112,8 +139,8 @@ def recall(k: int) -> int:
 
 
 def reciprocal_rank_fusion(hits: DataFrame, k: int = 5, constant: int = 60) -> DataFrame:
-    """Sum of 1 / (constant + rank) over all lists of a query."""
-    fused = hits.groupBy("query_id", "chunk_id").agg(F.sum(1 / (F.lit(constant) + F.col("rank"))).alias("score"), F.min("ord").alias("ord"))
+    """Sum of 1 / (constant + rank) over all lists of a query; rounded as in ``bm25``."""
+    fused = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (F.lit(constant) + F.col("rank"))), 9).alias("score"), F.min("ord").alias("ord"))
     return top_k(fused, k)
 
 

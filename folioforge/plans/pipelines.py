@@ -48,15 +48,12 @@ class Pipeline:
     def ingest(self, docs: DataFrame) -> Index:
         """``docs``: doc_id, text.  ``ord`` of the index orders chunks by document, then emission.
 
-        Chunks, vectors and postings are written: every query table reads them.
+        Chunks, vectors and token lists are written: every query table reads them.
         """
         cut = self.chunk(docs)
         chunks = materialize(cut.withColumn("within", F.col("ord")).withColumn("ord", F.struct("doc_id", "within")), "chunks")
         vectors = materialize(chunks.select("chunk_id", "ord", self.embed(F.col("content")).alias("vector")), "vectors")
-        words = retrieval.lexical_index(chunks.select("chunk_id", "ord", "content"))
-        postings = materialize(words.postings, "postings")
-        df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        return Index(chunks, retrieval.LexicalIndex(postings, df, words.stats, words.chunks), vectors)
+        return Index(chunks, retrieval.lexical_index(chunks.select("chunk_id", "ord", "content")).stored(), vectors)
 
     def run(self, index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
         """answers of ``queries`` (query_id, text)."""
@@ -123,10 +120,26 @@ def same(text: Column) -> Column:
     return text
 
 
-def standard_pipelines(model: generation.Model = generation.extractive_model, write: generation.Model = same, judge: generation.Model = lambda p: F.lit("correct")) -> dict[str, Pipeline]:
+def paragraph_outline(text: Column) -> Column:
+    """Offline stand-in for a model that outlines a document: a block per paragraph, as JSON."""
+    kind = "struct<at: int, out: array<struct<level: int, start: int, end: int>>>"
+    first = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+
+    def add(acc: Column, part: Column) -> Column:
+        block = F.struct(F.lit(1).alias("level"), acc["at"].alias("start"), (acc["at"] + F.length(part)).alias("end"))
+        return F.struct((acc["at"] + F.length(part) + 2).alias("at"), F.array_append(acc["out"], block).alias("out")).cast(kind)
+
+    return F.to_json(F.aggregate(F.split(text, "\n\n"), first, add, lambda acc: acc["out"]))
+
+
+def outlined_chunks(outline: generation.Model = paragraph_outline) -> Callable[[DataFrame], DataFrame]:
+    """Chunks by a model's outline of each document; ``outline`` maps a text to its answer."""
+    return lambda docs: chunking.hierarchical_chunks(docs, docs.select("doc_id", outline(F.col("text")).alias("answer")))
+
+
+def standard_pipelines(model: generation.Model = generation.extractive_model, write: generation.Model = same, judge: generation.Model = lambda p: F.lit("correct"), outline: generation.Model = paragraph_outline) -> dict[str, Pipeline]:
     """The ten standard compositions by name."""
     fixed, recursive, structured = chunking.fixed_chunks, chunking.recursive_chunks, chunking.structured_chunks
-    outlined = lambda docs: chunking.fixed_chunks(docs, 512, 0, keep_blank=True)  # noqa: E731  outlines come from a model; this is their fallback
     make = {
         "naive": (fixed, by_vectors, direct(model)),
         "dense": (recursive, by_vectors, direct(model)),
@@ -135,7 +148,7 @@ def standard_pipelines(model: generation.Model = generation.extractive_model, wr
         "dual_stage": (recursive, by_two_stages, direct(model)),
         "corrective": (recursive, by_vectors, lambda q, h: generation.corrective(q, h, judge, model)),
         "rank_and_answer": (recursive, by_vectors, lambda q, h: generation.rank_and_answer(q, h, model)),
-        "hierarchical": (outlined, by_vectors, direct(model)),
+        "hierarchical": (outlined_chunks(outline), by_vectors, direct(model)),
         "source_only": (recursive, by_words, generation.source_only),
         "full": (structured, by_category, bound_grounded(model)),
     }

@@ -16,6 +16,7 @@ from folioforge.functions import text as T
 from folioforge.operators import chunking, datasets, generation, lexicon, metrics, retrieval
 from folioforge.operators import statistics as stats
 from folioforge.plans import pipelines
+from folioforge.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +37,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def r6(c: Column | str) -> Column:
@@ -91,11 +93,11 @@ def doc_length_stats(spark, sf_dir):
 
 @query(f"WITH {bm25_sql()} {top_sql('scored', 5)}")
 def bm25_topk(spark, sf_dir):
-    return ranked(retrieval.bm25(retrieval.lexical_index(_chunks(spark, sf_dir)), _items(spark, sf_dir), 5))
+    return ranked(retrieval.bm25(retrieval.lexical_index(_chunks(spark, sf_dir)).stored(), _items(spark, sf_dir), 5))
 
 
 def _two_lists(spark, sf_dir, k=50):
-    index, items = retrieval.lexical_index(_chunks(spark, sf_dir)), _items(spark, sf_dir)
+    index, items = retrieval.lexical_index(_chunks(spark, sf_dir)).stored(), _items(spark, sf_dir)
     return retrieval.bm25(index, items, k), retrieval.bm25(index, items, k, k1=1.2, b=0.0)
 
 
@@ -114,15 +116,13 @@ _TWO = f"""WITH {bm25_sql()},
 )
 def hybrid_minmax_topk(spark, sf_dir):
     a, b = _two_lists(spark, sf_dir)
-    both = retrieval.merge(retrieval.min_max(a), retrieval.min_max(b))
-    return ranked(retrieval.top_k(both.withColumn("score", F.round(0.6 * F.col("dense") + 0.4 * F.col("bm25"), 9)), 5))
+    return ranked(retrieval.hybrid(a, b, 5))
 
 
 @query(_TWO + ", u AS (SELECT query_id, chunk_id, r FROM a UNION ALL SELECT query_id, chunk_id, r FROM b), f AS (SELECT query_id, chunk_id, round(sum(1::DOUBLE / (60 + r)), 9) AS score FROM u GROUP BY ALL) " + top_sql("f", 5))
 def rrf_fusion_topk(spark, sf_dir):
     a, b = _two_lists(spark, sf_dir)
-    fused = a.unionByName(b).groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (F.lit(60) + F.col("rank"))), 9).alias("score"), F.min("ord").alias("ord"))
-    return ranked(retrieval.top_k(fused, 5))
+    return ranked(retrieval.reciprocal_rank_fusion(a.unionByName(b), 5))
 
 
 def _vectors(spark, sf_dir):

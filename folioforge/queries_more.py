@@ -105,14 +105,28 @@ def label_parsing(spark, sf_dir):
 # ---- chunks --------------------------------------------------------------------------
 
 
-@query("""WITH m AS (SELECT doc_id, regexp_replace(text, '(^|\\n)((?:§?\\d+(?:\\.\\d+)*|第[一二三四五六七八九十]+[章节条]|#{1,4})\\s)', chr(1) || '\\1\\2', 'g') AS t FROM documents),
- p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM m)
- SELECT doc_id, i::BIGINT AS nth, md5(substr(parts[i + 1], 1, 2048)) AS digest FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS i FROM p)""")
-def section_chunks(spark, sf_dir):
-    out = chunking.section_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _sections_sql(content: str) -> str:
+    return rf"""WITH m AS (SELECT doc_id, regexp_replace(text, '(^|\n)((?:§?\d+(?:\.\d+)*|第[一二三四五六七八九十]+[章节条]|#{{1,4}})\s)', chr(1) || '\1\2', 'g') AS t FROM documents),
+ p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM m)
+ SELECT doc_id, i::BIGINT AS nth, md5({content}) AS digest FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS i FROM p)"""
+
+
+def _digests(out):
     return out.select("doc_id", F.col("nth").cast("long").alias("nth"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+@query(_sections_sql("parts[i + 1]"))
+def section_chunks(spark, sf_dir):
+    """Whole sections of whole texts."""
+    return _digests(chunking.section_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query(_sections_sql("substr(parts[i + 1], 1, 2048)"))
+def section_heads(spark, sf_dir):
+    """The bounded variant: the first 2048 characters of each section are the feature."""
+    return _digests(chunking.section_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), 2048))
+
+
 _STANDARD = "1 Scope\nLimits are listed, see Table 3 below.\n2 Access\nThe gap ≥ 500 mm for hands.\n\nTable 3 gives limits\n|part|gap|\n|door|60|"
 
 

@@ -53,6 +53,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files alone would keep only some busy.
+
+    A table below 4 MB (what opening a file counts as) for each core is dealt out anew; a
+    larger one is split by its scan and left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if planned < cores * 4 * 2**20 else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
