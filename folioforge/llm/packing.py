@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize
-from .tokens import batches_by_size, encoder
+from .tokens import KEPT_PIECES, encoder, text_groups
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class Capacity:
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: Capacity = Capacity(), with_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: Capacity = Capacity(), with_ids: bool = False, kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """One row per piece of each document's ids (the text's ids, then ``end_id``).
 
     Only documents longer than ``capacity.tokens`` are cut; their first piece takes the
@@ -55,14 +55,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
     most = capacity.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(tokenizer_path, True), np.asarray([end_id], "<u4").tobytes()
+        code, end = encoder(tokenizer_path, True, kept_pieces), np.asarray([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         seen = [0] * (most + 1)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches_by_size(texts):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in text_groups(batch.column(1)):
                 rows: list[list] = [[] for _ in range(8)]
-                for doc_id, raw in zip(names[a:b], code.encode(texts[a:b]), strict=True):
+                for doc_id, raw in zip(names[a:b], code.encode(texts), strict=True):
                     raw += end
                     n = len(raw) // 4
                     start = 0
@@ -252,13 +252,14 @@ def place_pieces(pieces: DataFrame, capacity: Capacity = Capacity(), score: str
     return found.withColumn("sequence_id", F.col("bin") + F.col("rank") - F.col("low")).drop("task", "nth", "rank", "low", "many", "bin")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: Capacity = Capacity(), score: str = "residual", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: Capacity = Capacity(), score: str = "residual", with_ids: bool = False, kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """Pack all documents: one row per piece with its ``sequence_id`` and ``offset``.
 
     Offsets within a sequence are gapless from 0.  An empty table gives an empty result.
-    ``with_ids`` adds each piece's ids as little-endian uint32 bytes.
+    ``with_ids`` adds each piece's ids as little-endian uint32 bytes.  ``kept_pieces``
+    bounds what a worker keeps of the tokenizer's work, not the result.
     """
-    pieces = materialize(tokenized_pieces(docs, tokenizer_path, end_id, capacity, with_ids), "pieces")
+    pieces = materialize(tokenized_pieces(docs, tokenizer_path, end_id, capacity, with_ids, kept_pieces), "pieces")
     return place_pieces(pieces, capacity, score)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize, scratch_path
-from .tokens import batches_by_size, encoder
+from .tokens import encoder, text_groups
 
 MAGIC = b"FFSST001"
 #: index offset, index bytes, Bloom offset, Bloom bytes, hashes, entries, tokens, magic
@@ -239,14 +239,14 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
         shard = TaskContext.get().partitionId()
         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.fsst"
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches_by_size(texts):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in text_groups(batch.column(1)):
                 if writer is None:
                     files, local = _open(path)
                     files.create_dir(local, recursive=True)
                     sink = files.open_output_stream(f"{local}/{name.rpartition('/')[2]}")
                     writer = ShardWriter(sink)
-                for doc_id, raw in zip(names[a:b], code.encode(texts[a:b]), strict=True):
+                for doc_id, raw in zip(names[a:b], code.encode(texts), strict=True):
                     writer.add(doc_id, raw + end)
         if writer is not None:
             writer.close()
