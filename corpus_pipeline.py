@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are 0.8 alike in 5-word shingles stays."""
+    """One document of each group stays: SimHash fingerprints within 3 bits, or 5-word shingles 0.8 alike."""
     return keep_one_of_each(docs)
 
 

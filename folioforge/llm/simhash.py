@@ -13,8 +13,9 @@ over ``hot`` nodes are split again by the parts of the bits that the table left
 the same pigeonhole rule; that fixes about three quarters of 64 bits, so what is left of
 a bucket has a bound that doesn't depend on the corpus.
 
-``similar_groups`` is for a stated Jaccard similarity, which no selective pigeonhole of
-fingerprints reaches: MinHash bands find candidates, exact comparison decides.
+``similar_groups`` links texts by these fingerprints, and beside them by a stated Jaccard
+similarity, which no selective pigeonhole of fingerprints reaches: there MinHash bands
+find candidates and exact comparison decides.
 """
 
 from __future__ import annotations
@@ -223,22 +224,23 @@ def band_keys(hashes: np.ndarray, odd: np.ndarray, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[at : at + size], at // size) for at in range(0, len(raw), size)], np.uint64).view(np.int64)
 
 
-def _banded(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_hash, node, keys): node is a hash of a text's set of shingles."""
+def _banded(docs: DataFrame, words: int, bands: int, rows: int, print_words: int = 3) -> DataFrame:
+    """(doc_id, text_hash, node, fp, keys): node is a hash of a text's set of shingles, fp its fingerprint."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # as the worker's state, so that what an earlier operator kept goes
         odd = worker_state(("bands", bands, rows), lambda: multipliers(bands * rows))
         for batch in batches:
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for text in batch.column(1):
+                prints.append(fingerprint(shingle_hashes(text.as_py(), print_words))[0])
                 hashes = shingle_hashes(text.as_py(), words, distinct=True)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 keys.append(band_keys(hashes, odd, rows))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()), "fp": pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>")
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, node long, fp long, keys array<long>")
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -407,10 +409,24 @@ def _named_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.select("node", "component", "first", F.col("node_salts").alias("salts"))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8, chunk: int = 120) -> DataFrame:
-    """(doc_id, text_hash, component, first) for texts whose shingle sets are ``similarity`` alike or more.
+def _fingerprint_edges(named: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Edges (u, v) that link the nodes of ``named`` (node, fp) whose fingerprints are within ``radius``.
 
-    Two texts of Jaccard similarity J agree in a MinHash value with probability J, wherever
+    A fingerprint stands for its smallest node; nodes of one fingerprint are linked to it.
+    """
+    salt = hashed("node")
+    pairs = materialize(named.select("node", "fp").distinct(), "fingerprint-nodes")
+    heads = materialize(pairs.groupBy("fp").agg(F.min("node").alias("head"), used_salts(salt).alias("salts")), "fingerprint-heads")
+    same = join_spread(pairs, heads, "fp", salt).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    return same.unionByName(exact_edges(heads.select(F.col("head").alias("node"), F.array("fp").alias("fp")), radius, blocks))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8, chunk: int = 120, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(doc_id, text_hash, component, first) of texts linked by fingerprint or by ``similarity``.
+
+    The fingerprints are those of ``near_duplicate_groups``, all pairs within ``radius``
+    by the same pigeonhole tables.  Texts whose shingle sets are ``similarity`` alike or
+    more are linked too, most of which differ in more bits than that.  Two texts of Jaccard similarity J agree in a MinHash value with probability J, wherever
     they differ, and in all ``rows`` of one of ``bands`` bands with 1 - (1 - J^rows)^bands:
     0.9999 at 0.8.  Bands only name candidates; pairs are linked by the exact similarity of
     their sets.  ``first`` is a component's smallest non-null doc_id.
@@ -419,6 +435,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ban
     chosen = F.min(F.struct("doc_id", "text_hash")).alias("chosen")
     nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), chosen, F.first("keys").alias("keys"), used_salts(hashed("doc_id", "text_hash")).alias("salts")), "nodes")
     edges = _verified_edges(docs, _candidates(nodes.select("node", "keys")), nodes.select("node", "chosen"), words, similarity, chunk)
+    edges = edges.unionByName(_fingerprint_edges(named, radius, blocks))
     groups = _named_groups(nodes.select("node", "first", "salts"), edges)
     return join_spread(named.select("doc_id", "text_hash", "node"), groups, "node", hashed("doc_id", "text_hash")).drop("node")
 

@@ -318,6 +318,20 @@ def test_similar_texts_keep_one_row(spark):
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_kept_texts_are_one_of_each_fingerprint_group(spark):
+    """The stage holds the links of the fingerprints, also of texts whose shingle sets are less alike."""
+    pick = np.random.RandomState(5)
+    fresh = lambda n: " ".join(f"w{x}" for x in pick.randint(0, 10**6, n))
+    texts = [fresh(40) for _ in range(20)]
+    texts += ["la " * 100 + fresh(8) for _ in range(4)]  # one shingle is over half: equal fingerprints
+    long = " ".join(["mi"] * 80 + ["so"] * 79)
+    texts += [long + " " + fresh(k) for k in (1, 2, 9)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+    assert len(set(groups.values())) <= len(texts) - 4
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()) == sorted(set(groups.values()))
+
+
 def word_sets_similarity(a, b):
     x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
     return len(x & y) / len(x | y)
