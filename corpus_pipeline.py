@@ -46,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # workers still hold some of what earlier stages needed, so this one keeps less
-    return pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2, kept_pieces=400_000)
+    return pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2, kept_pieces=150_000, batch_rows=2_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,16 +5,17 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioforge.storage import materialize, scratch_path, shared_root
 
-__all__ = ["free_names", "give_back", "hashed", "id_and_text", "join_spread", "map_whole_rows", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
+__all__ = ["batches_of", "free_names", "give_back", "hashed", "id_and_text", "join_spread", "map_whole_rows", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
 
 T = TypeVar("T")
 _STATE: dict[object, object] = {}
@@ -44,6 +45,23 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What is executed inside hands Python workers ``rows`` rows at a time (None: as the session does).
+
+    A batch is held by the executor and by its worker at once, so this bounds both; every
+    row is still handed over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; null text is empty.
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import batches_of, id_and_text, materialize
 from .tokens import KEPT_PIECES, encoder, text_groups
 
 
@@ -252,14 +252,16 @@ def place_pieces(pieces: DataFrame, capacity: Capacity = Capacity(), score: str
     return found.withColumn("sequence_id", F.col("bin") + F.col("rank") - F.col("low")).drop("task", "nth", "rank", "low", "many", "bin")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: Capacity = Capacity(), score: str = "residual", with_ids: bool = False, kept_pieces: int = KEPT_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: Capacity = Capacity(), score: str = "residual", with_ids: bool = False, kept_pieces: int = KEPT_PIECES, batch_rows: int | None = None) -> DataFrame:
     """Pack all documents: one row per piece with its ``sequence_id`` and ``offset``.
 
     Offsets within a sequence are gapless from 0.  An empty table gives an empty result.
     ``with_ids`` adds each piece's ids as little-endian uint32 bytes.  ``kept_pieces``
-    bounds what a worker keeps of the tokenizer's work, not the result.
+    bounds what a worker keeps of the tokenizer's work and ``batch_rows`` how many documents
+    it is handed at once, not the result.
     """
-    pieces = materialize(tokenized_pieces(docs, tokenizer_path, end_id, capacity, with_ids, kept_pieces), "pieces")
+    with batches_of(docs.sparkSession, batch_rows):
+        pieces = materialize(tokenized_pieces(docs, tokenizer_path, end_id, capacity, with_ids, kept_pieces), "pieces")
     return place_pieces(pieces, capacity, score)
 
 

@@ -8,12 +8,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioforge.llm import chat, decontaminate, langid, packing, quality, secrets, sharding, simhash, sstable, tokens, toxicity
+from folioforge.llm.common import batches_of
 from folioforge.llm.graph import connected_components
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +72,23 @@ def test_packing_is_gapless_and_whole(spark, odd):
     assert packing.pack_documents(odd.limit(0), BYTE).count() == 0
 
 
+def test_packing_by_small_batches_is_the_same(spark, odd):
+    key, order = "spark.sql.execution.arrow.maxRecordsPerBatch", ["doc_id", "piece", "sequence_id", "offset"]
+    before = spark.conf.get(key)
+    rows = lambda **how: packing.pack_documents(odd.coalesce(1), BYTE, **how).orderBy(*order).collect()
+    assert rows(kept_pieces=3, batch_rows=2) == rows()
+    assert spark.conf.get(key) == before
+
+
+def test_batches_of_bounds_what_a_worker_is_handed(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    with batches_of(spark, 3):
+        assert [r["n"] for r in spark.range(0, 8, 1, 1).mapInArrow(sizes, "n long").collect()] == [3, 3, 2]
+
+
 def test_packed_ids_are_the_documents(spark, small):
     packed = packing.pack_documents(small, BYTE, with_ids=True)
     spans = packing.packed_sequences(packed).collect()
