@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import global_rank
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
@@ -54,33 +59,168 @@ def paired_t(pairs: DataFrame, group: list[str], a: str = "a", b: str = "b") ->
     return rows.withColumn("p_value", p_value("t", "n")).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
+#: Places added up together (an offset among them fits 16 bits), draws of a slice, slots of a piece (a count among them fits 16 bits).
+BLOCK, SLICE, PIECE = 1 << 16, 100, 1 << 14
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def _md5_codes(words: list[np.ndarray | int]) -> np.ndarray:
+    """The first four bytes, as a big-endian number, of the MD5 of many padded 64-byte messages, given word by word.
+
+    They are the first register's, which is final after step 61.
+    """
+    a, b, c, d = (np.full(len(words[0]), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(61):
+        part, turn = i // 16, _TURNS[i // 16][i % 4]
+        if part == 0:
+            f, at = d ^ (b & (c ^ d)), i
+        elif part == 1:
+            f, at = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif part == 2:
+            f, at = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, at = c ^ (b | ~d), 7 * i % 16
+        f += a
+        if isinstance(words[at], int):
+            f += np.uint32((_SINES[i] + words[at]) % 2**32)
+        else:
+            f += np.uint32(_SINES[i])
+            f += words[at]
+        high = f << np.uint32(turn)
+        f >>= np.uint32(32 - turn)
+        f |= high
+        f += b
+        a, d, c, b = d, c, b, f
+    return (b + np.uint32(0x67452301)).byteswap()
+
+
+def _digits(numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, ASCII digits as a matrix) of the numbers of each length."""
+    text = numbers.astype("S20")
+    size = np.char.str_len(text)
+    return [(at, np.frombuffer(text[at].astype(f"S{n}").tobytes(), np.uint8).reshape(-1, n)) for n in np.unique(size) for at in [np.flatnonzero(size == n)]]
+
+
+def draw_codes(seed: str, draws: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The number in the first 8 hex digits of md5("seed:draw:slot"), a row per draw and a column per slot."""
+    head = f"{seed}:".encode()
+    if len(head) + 41 > 55:  # more than one block of MD5
+        code = lambda x: int.from_bytes(hashlib.md5(x, usedforsecurity=False).digest()[:4])
+        return np.array([[code(head + b"%d:%d" % (d, s)) for s in slots.tolist()] for d in draws.tolist()], np.uint32)
+    out = np.empty((len(draws), len(slots)), np.uint32)
+    for rows, first in _digits(draws):
+        for columns, last in _digits(slots):
+            middle = len(head) + first.shape[1]
+            size = middle + 1 + last.shape[1]
+            n = size // 4 + 1
+            step = max(1, PIECE // len(columns))
+            for i in range(0, len(rows), step):
+                text = np.zeros((len(first[i : i + step]), len(columns), 4 * n), np.uint8)
+                text[:, :, : len(head)] = np.frombuffer(head, np.uint8)
+                text[:, :, len(head) : middle] = first[i : i + step, None]
+                text[:, :, middle] = ord(":")
+                text[:, :, middle + 1 : size] = last
+                text[:, :, size] = 0x80
+                words = text.reshape(-1, 4 * n).view("<u4").T
+                out[np.ix_(rows[i : i + step], columns)] = _md5_codes([*np.ascontiguousarray(words), *[0] * (14 - n), 8 * size, 0]).reshape(text.shape[:2])
+    return out
+
+
+def _placed(values: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
+    """(group, _value, _rank): ranks from 1 over the whole table in order of group and ``key``, so a group's are consecutive."""
+    rows = values.select(*group, F.col(key).alias("_key"), F.col(value).cast("double").alias("_value"))
+    for c in group:
+        rows = rows.where(F.col(c).isNotNull())
+    return global_rank(rows, *[F.col(c) for c in group], F.col("_key"), name="_rank").drop("_key")
+
+
+def _resampled(placed: DataFrame, group: list[str], resamples: int, seeds: list[str]) -> DataFrame:
+    """(group, _seed, draw, mean) of bootstrap means over ``_placed`` rows.
+
+    Draws need the groups' sizes alone.  They are made in pieces, as arrays, and dealt out by the block
+    of ranks that they fall into, two bytes a draw; each block adds up its rows' values per draw.
+    """
+    sizes = placed.groupBy(*group).agg((F.min("_rank") - 1).cast("long").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    slices = [(seed, at) for seed in seeds for at in range(0, resamples, SLICE)]
+    sliced = F.explode(F.array(*[F.struct(F.lit(s).alias("_seed"), F.lit(at).alias("_at")) for s, at in slices]))
+    pieces = sizes.select("_first", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PIECE).cast("long"))).alias("_from"))
+    pieces = pieces.select("*", sliced.alias("_s")).select("_first", "_n", "_from", "_s.*")
+
+    kinds = {"_first": pa.int64(), "_seed": pa.string(), "_at": pa.int32(), "_block": pa.int64(), "_counts": pa.binary(), "_offsets": pa.binary()}
+    drawn = pa.schema(list(kinds.items()))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, start, seed, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                draws, slots = np.arange(at, min(at + SLICE, resamples)), np.arange(start, min(start + PIECE, n))
+                place = (first + draw_codes(seed, draws, slots).astype(np.int64) % n).ravel()
+                block = place // BLOCK
+                low = block.min()
+                block -= low
+                counts = np.bincount(block * len(draws) + np.repeat(np.arange(len(draws)), len(slots)), minlength=(int(block.max()) + 1) * len(draws)).reshape(-1, len(draws))
+                offsets = (place % BLOCK).astype(np.uint16)[np.argsort(block.astype(np.min_scalar_type(int(block.max()))), kind="stable")]
+                ends = counts.sum(axis=1).cumsum()
+                hit = np.flatnonzero(counts.any(axis=1))
+                columns = {"_first": [first] * len(hit), "_seed": [seed] * len(hit), "_at": [at] * len(hit), "_block": hit + low}
+                columns["_counts"] = [counts[i].astype(np.uint16).tobytes() for i in hit]
+                columns["_offsets"] = [offsets[ends[i] - counts[i].sum() : ends[i]].tobytes() for i in hit]
+                yield pa.RecordBatch.from_pydict(columns, schema=drawn)
+
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picks = pieces.repartition(tasks).mapInArrow(pick, "_first long, _seed string, _at int, _block long, _counts binary, _offsets binary")
+    at = F.col("_rank") - 1
+    values = placed.select(F.floor(at / BLOCK).cast("long").alias("_block"), (at % BLOCK).cast("int").alias("_offset"), "_value", sliced.alias("_s")).select("_block", "_s.*", "_offset", "_value")
+
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table, picked: pa.Table) -> pa.Table:
+        start = key[2].as_py()
+        found = rows["_value"].combine_chunks()
+        value, there = np.zeros(BLOCK), np.zeros(BLOCK)
+        value[rows["_offset"].to_numpy()] = found.fill_null(0.0).to_numpy(zero_copy_only=False)
+        there[rows["_offset"].to_numpy()] = found.is_valid().to_numpy(zero_copy_only=False)
+        firsts, group_of = np.unique(picked["_first"].to_numpy(), return_inverse=True)
+        n = min(SLICE, resamples - start)
+        total, seen = np.zeros((len(firsts), n)), np.zeros((len(firsts), n))
+        for g, c, o in zip(group_of, picked["_counts"], picked["_offsets"], strict=True):
+            offset = np.frombuffer(o.as_buffer(), np.uint16)
+            draw = np.repeat(np.arange(n), np.frombuffer(c.as_buffer(), np.uint16))
+            total[g] += np.bincount(draw, value[offset], n)
+            seen[g] += np.bincount(draw, there[offset], n)
+        draws = np.tile(np.arange(start, start + n, dtype=np.int32), len(firsts))
+        return pa.table({"_first": np.repeat(firsts, n), "_seed": pa.array([key[1].as_py()] * len(draws), pa.string()), "draw": draws, "_total": total.ravel(), "_seen": seen.ravel().astype(np.int64)})
+
+    by = ["_block", "_seed", "_at"]
+    sums = values.groupBy(*by).cogroup(picks.groupBy(*by)).applyInArrow(add, "_first long, _seed string, draw int, _total double, _seen long")
+    sums = sums.groupBy("_first", "_seed", "draw").agg(F.sum("_total").alias("_total"), F.sum("_seen").alias("_seen"))
+    return sums.join(sizes.select(*group, "_first"), "_first").select(*group, "_seed", "draw", F.try_divide("_total", "_seen").alias("mean"))
+
+
 def resampled_means(values: DataFrame, group: list[str], resamples: int, value: str = "value", key: str = "item", seed: str = "boot") -> DataFrame:
     """(group, draw, mean) of bootstrap means by hashed draws.
 
-    ``values`` holds per-item scores (evaluation sets, not corpora).  Draw j of resample b
-    takes the row whose place is md5(seed, b, j) mod n, which any SQL engine can repeat.
+    Draw j of resample b takes the row whose place in the group is md5(seed, b, j) mod n, which any SQL
+    engine can repeat.  Rows without a value count as places and not in means.
     """
-    w = Window.partitionBy(*group)
-    rows = values.withColumn("place", (F.row_number().over(w.orderBy(key)) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
-    draws = rows.select(*group, "n", F.col("place").alias("slot")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("slot")).cast("binary")), 1, 8), 16, 10).cast("long")
-    draws = draws.select(*group, "draw", (code % F.col("n")).alias("place"))
-    return draws.join(rows.select(*group, "place", value), [*group, "place"]).groupBy(*group, "draw").agg(F.avg(value).alias("mean"))
+    return _resampled(_placed(values, group, value, key), group, resamples, [seed]).drop("_seed")
+
+
+def _interval(mean: Column, level: float) -> list[Column]:
+    low, high = (1 - level) / 2, 1 - (1 - level) / 2
+    return [F.percentile(mean, F.lit(low)).alias("low"), F.percentile(mean, F.lit(high)).alias("high")]
 
 
 def bootstrap_interval(values: DataFrame, group: list[str], resamples: int = 2000, level: float = 0.95, **names) -> DataFrame:
     """Percentile interval of the mean, linear between order statistics."""
-    low, high = (1 - level) / 2, 1 - (1 - level) / 2
-    means = resampled_means(values, group, resamples, **names)
-    return means.groupBy(*group).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"))
+    return resampled_means(values, group, resamples, **names).groupBy(*group).agg(*_interval(F.col("mean"), level))
 
 
 def paired_bootstrap(pairs: DataFrame, group: list[str], resamples: int = 2000, a: str = "a", b: str = "b", key: str = "item") -> DataFrame:
     """One-sided p (share of resampled mean differences at or below 0) and a second resampling's interval."""
-    diffs = pairs.withColumn("value", F.col(a) - F.col(b))
-    p = resampled_means(diffs, group, resamples, key=key, seed="p").groupBy(*group).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("p_value"))
-    mean = diffs.groupBy(*group).agg(F.avg("value").alias("mean_diff"))
-    return mean.join(p, group).join(bootstrap_interval(diffs, group, resamples, key=key, seed="ci"), group)
+    placed = _placed(pairs.withColumn("value", F.col(a) - F.col(b)), group, "value", key)
+    of = lambda seed, x: F.when(F.col("_seed") == seed, x)
+    p = F.avg(of("p", (F.col("mean") <= 0).cast("double"))).alias("p_value")
+    drawn = _resampled(placed, group, resamples, ["p", "ci"]).groupBy(*group).agg(p, *_interval(of("ci", F.col("mean")), 0.95))
+    return placed.groupBy(*group).agg(F.avg("_value").alias("mean_diff")).join(drawn, group)
 
 
 def numpy_bootstrap(values: DataFrame, group: list[str], resamples: int = 10_000, seed: int = 42, value: str = "value", key: str = "item") -> DataFrame:

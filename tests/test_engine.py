@@ -1,8 +1,11 @@
 """Literal fixtures with hand-computed values, and the traps of the original semantics."""
 
+import hashlib
 import importlib
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +265,25 @@ def test_hashed_bag_counts_each_token_once(spark):
         counts = [float((r["p"] or []).count(i)) for i in range(64)]
         n = sum(c * c for c in counts) ** 0.5 + 1e-8
         assert r["v"] == ([None] * 64 if r["p"] is None else [c / n for c in counts])
+
+
+def test_draws_are_the_hashed_ones():
+    draws, slots = np.array([0, 9, 10, 1999]), np.array([0, 9, 10, 99999, 100000, 4294967295])
+    for seed in ("p", "boot", "é" * 9, "x" * 60):
+        wanted = [[int(hashlib.md5(f"{seed}:{d}:{s}".encode()).hexdigest()[:8], 16) for s in slots] for d in draws]
+        assert stats.draw_codes(seed, draws, slots).tolist() == wanted
+
+
+def test_bootstrap_shuffles_no_row_per_draw_and_keeps_no_group_in_one_task(spark):
+    n = stats.BLOCK + 5000  # the groups share a block, and the larger one has several
+    rows = spark.range(n + 7).select(F.when(F.col("id") < n, "a").when(F.col("id") < n + 4, "b").when(F.col("id") < n + 6, "c").alias("g"), (-F.col("id")).alias("item"), F.when((F.col("id") % 10 > 0) & (F.col("id") < n + 4), F.col("id") % 1000 - 400.5).alias("value"))
+    out = stats.resampled_means(rows, ["g"], 102)
+    got = {(r["g"], r["draw"]): r["mean"] for r in out.collect()}
+    assert set(got) == {(g, d) for g in "abc" for d in range(102)} and all(got["c", d] is None for d in range(102))
+    for g, ids in (("a", np.arange(n)[::-1]), ("b", np.arange(n, n + 4)[::-1])):
+        for d in (0, 99, 100, 101):
+            drawn = ids[[int(hashlib.md5(f"boot:{d}:{j}".encode()).hexdigest()[:8], 16) % len(ids) for j in range(len(ids))]]
+            drawn = drawn[drawn % 10 > 0]
+            assert got[g, d] == (pytest.approx(np.mean(drawn % 1000 - 400.5)) if len(drawn) else None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Window \[.*\], \[g#\d+\]", plan) and not re.search(r"Join.*_?place", plan)
