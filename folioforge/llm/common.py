@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from folioforge.storage import materialize, scratch_path, shared_root
 
-__all__ = ["batches_of", "free_names", "give_back", "hashed", "id_and_text", "join_spread", "map_whole_rows", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
+__all__ = ["batches_of", "free_names", "give_back", "give_back_heap", "hashed", "id_and_text", "join_spread", "map_whole_rows", "materialize", "scratch_path", "shared_root", "text_position", "used_salts", "worker_state"]
 
 T = TypeVar("T")
 _STATE: dict[object, object] = {}
@@ -45,6 +45,19 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Let every executor collect its garbage and return the freed heap to the system.
+
+    An executor's heap grows to its limit over the steps of a pipeline, though little of it is
+    in use between them, and stands beside what its Python workers need.  One task for each
+    core reaches all executors, as none is busy between steps; where others' jobs run some
+    may be missed, which costs memory only.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, cores, 1, cores).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc")).alias("said"))
+    asked.write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
     """What is executed inside hands Python workers ``rows`` rows at a time (None: as the session does).

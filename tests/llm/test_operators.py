@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioforge.llm import chat, decontaminate, langid, packing, quality, secrets, sharding, simhash, sstable, tokens, toxicity
-from folioforge.llm.common import batches_of
+from folioforge.llm.common import batches_of, give_back_heap
 from folioforge.llm.graph import connected_components
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -864,3 +864,36 @@ def test_pipeline_runs_whole(spark, tmp_path):
         assert out.columns == docs.columns, name
         assert out.count() <= docs.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def _grown_heap(spark):
+    """MB of the executors' heap (here the driver's too) after garbage of 800 MB was made."""
+    assert spark.range(1).selectExpr("length(repeat('x', cast(id AS int) + 800000000)) AS n").first()["n"] == 800_000_000
+    return _heap_mb(spark)
+
+
+def _heap_mb(spark):
+    return spark._jvm.java.lang.Runtime.getRuntime().totalMemory() >> 20
+
+
+def test_freed_heap_goes_back(spark):
+    before = _grown_heap(spark)
+    give_back_heap(spark)
+    assert _heap_mb(spark) < before - 500
+
+
+def test_each_pipeline_stage_begins_with_heap_given_back(spark, tmp_path, monkeypatch):
+    import shutil
+
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    # only what comes before each stage's own work
+    for work in ("drop_toxic", "fit_toxicity", "keep_one_of_each", "drop_contaminated", "redact_live", "pack_documents"):
+        monkeypatch.setattr(corpus_pipeline, work, lambda docs, *_, **__: docs)
+    for name, stage in corpus_pipeline.STAGES:
+        before = _grown_heap(spark)
+        stage(spark, docs, str(tmp_path))
+        assert _heap_mb(spark) < before - 500, name
