@@ -59,8 +59,8 @@ def paired_t(pairs: DataFrame, group: list[str], a: str = "a", b: str = "b") ->
     return rows.withColumn("p_value", p_value("t", "n")).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
-#: Places added up together (an offset among them fits 16 bits), draws of a slice, slots of a piece (a count among them fits 16 bits).
-BLOCK, SLICE, PIECE = 1 << 16, 100, 1 << 14
+#: Ranks packed into one row, rows whose values a task holds at a time, numbers worked on together, numbers drawn at a time, groups of an answer.
+BLOCK, HELD, PIECE, DRAWN, BUNCH = 1 << 16, 1 << 7, 1 << 15, 1 << 21, 1000
 _TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 
@@ -71,59 +71,75 @@ def _md5_codes(words: list[np.ndarray | int]) -> np.ndarray:
     They are the first register's, which is final after step 61.
     """
     a, b, c, d = (np.full(len(words[0]), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f = np.empty_like(a)
     for i in range(61):
         part, turn = i // 16, _TURNS[i // 16][i % 4]
         if part == 0:
-            f, at = d ^ (b & (c ^ d)), i
+            at = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
         elif part == 1:
-            f, at = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            at = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
         elif part == 2:
-            f, at = b ^ c ^ d, (3 * i + 5) % 16
+            at = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
         else:
-            f, at = c ^ (b | ~d), 7 * i % 16
-        f += a
+            at = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        a += f
         if isinstance(words[at], int):
-            f += np.uint32((_SINES[i] + words[at]) % 2**32)
+            a += np.uint32((_SINES[i] + words[at]) % 2**32)
         else:
-            f += np.uint32(_SINES[i])
-            f += words[at]
-        high = f << np.uint32(turn)
-        f >>= np.uint32(32 - turn)
-        f |= high
-        f += b
-        a, d, c, b = d, c, b, f
+            a += np.uint32(_SINES[i])
+            a += words[at]
+        np.left_shift(a, np.uint32(turn), out=f)
+        a >>= np.uint32(32 - turn)
+        a |= f
+        a += b
+        a, d, c, b = d, c, b, a
     return (b + np.uint32(0x67452301)).byteswap()
 
 
-def _digits(numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, ASCII digits as a matrix) of the numbers of each length."""
+def _digits(numbers: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(place of the first, ASCII digits as a matrix) of the ascending numbers of each length."""
     text = numbers.astype("S20")
     size = np.char.str_len(text)
-    return [(at, np.frombuffer(text[at].astype(f"S{n}").tobytes(), np.uint8).reshape(-1, n)) for n in np.unique(size) for at in [np.flatnonzero(size == n)]]
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(text)]
+    return [(i, np.frombuffer(text[i:j].astype(f"S{size[i]}").tobytes(), np.uint8).reshape(-1, size[i])) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def draw_codes(seed: str, draws: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """The number in the first 8 hex digits of md5("seed:draw:slot"), a row per draw and a column per slot."""
+    """The number in the first 8 hex digits of md5("seed:draw:slot"), a row per draw and a column per slot, both ascending."""
     head = f"{seed}:".encode()
     if len(head) + 41 > 55:  # more than one block of MD5
         code = lambda x: int.from_bytes(hashlib.md5(x, usedforsecurity=False).digest()[:4])
         return np.array([[code(head + b"%d:%d" % (d, s)) for s in slots.tolist()] for d in draws.tolist()], np.uint32)
     out = np.empty((len(draws), len(slots)), np.uint32)
-    for rows, first in _digits(draws):
-        for columns, last in _digits(slots):
+    parts = _digits(draws)
+    for column, last in _digits(slots):
+        for row, first in parts:
             middle = len(head) + first.shape[1]
             size = middle + 1 + last.shape[1]
             n = size // 4 + 1
-            step = max(1, PIECE // len(columns))
-            for i in range(0, len(rows), step):
-                text = np.zeros((len(first[i : i + step]), len(columns), 4 * n), np.uint8)
-                text[:, :, : len(head)] = np.frombuffer(head, np.uint8)
-                text[:, :, len(head) : middle] = first[i : i + step, None]
-                text[:, :, middle] = ord(":")
-                text[:, :, middle + 1 : size] = last
-                text[:, :, size] = 0x80
-                words = text.reshape(-1, 4 * n).view("<u4").T
-                out[np.ix_(rows[i : i + step], columns)] = _md5_codes([*np.ascontiguousarray(words), *[0] * (14 - n), 8 * size, 0]).reshape(text.shape[:2])
+            left, right = np.zeros((len(first), 4 * n), np.uint8), np.zeros((len(last), 4 * n), np.uint8)
+            left[:, : len(head)] = np.frombuffer(head, np.uint8)
+            left[:, len(head) : middle] = first
+            left[:, middle] = ord(":")
+            right[:, middle + 1 : size] = last
+            right[:, size] = 0x80
+            left, right = left.view("<u4").T[:, :, None], np.ascontiguousarray(right.view("<u4").T)
+            step = max(1, PIECE // len(last))
+            for i in range(0, len(first), step):
+                words = [(x[i : i + step] | y).ravel() for x, y in zip(left, right, strict=True)]
+                codes = _md5_codes([*words, *[0] * (14 - n), 8 * size, 0]).reshape(-1, len(last))
+                out[row + i : row + i + len(codes), column : column + len(last)] = codes
     return out
 
 
@@ -138,59 +154,69 @@ def _placed(values: DataFrame, group: list[str], value: str, key: str) -> DataFr
 def _resampled(placed: DataFrame, group: list[str], resamples: int, seeds: list[str]) -> DataFrame:
     """(group, _seed, draw, mean) of bootstrap means over ``_placed`` rows.
 
-    Draws need the groups' sizes alone.  They are made in pieces, as arrays, and dealt out by the block
-    of ranks that they fall into, two bytes a draw; each block adds up its rows' values per draw.
+    Draws need the groups' sizes alone, and groups have the same ones.  They are dealt out, eight shares a core,
+    and made where they are used: the values go to each share, packed by the block of ranks.  A task holds
+    ``HELD`` blocks at most; a group of more is drawn once for each ``HELD`` of its blocks.
     """
     sizes = placed.groupBy(*group).agg((F.min("_rank") - 1).cast("long").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 0")
-    slices = [(seed, at) for seed in seeds for at in range(0, resamples, SLICE)]
-    sliced = F.explode(F.array(*[F.struct(F.lit(s).alias("_seed"), F.lit(at).alias("_at")) for s, at in slices]))
-    pieces = sizes.select("_first", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PIECE).cast("long"))).alias("_from"))
-    pieces = pieces.select("*", sliced.alias("_s")).select("_first", "_n", "_from", "_s.*")
-
-    kinds = {"_first": pa.int64(), "_seed": pa.string(), "_at": pa.int32(), "_block": pa.int64(), "_counts": pa.binary(), "_offsets": pa.binary()}
-    drawn = pa.schema(list(kinds.items()))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, n, start, seed, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                draws, slots = np.arange(at, min(at + SLICE, resamples)), np.arange(start, min(start + PIECE, n))
-                place = (first + draw_codes(seed, draws, slots).astype(np.int64) % n).ravel()
-                block = place // BLOCK
-                low = block.min()
-                block -= low
-                counts = np.bincount(block * len(draws) + np.repeat(np.arange(len(draws)), len(slots)), minlength=(int(block.max()) + 1) * len(draws)).reshape(-1, len(draws))
-                offsets = (place % BLOCK).astype(np.uint16)[np.argsort(block.astype(np.min_scalar_type(int(block.max()))), kind="stable")]
-                ends = counts.sum(axis=1).cumsum()
-                hit = np.flatnonzero(counts.any(axis=1))
-                columns = {"_first": [first] * len(hit), "_seed": [seed] * len(hit), "_at": [at] * len(hit), "_block": hit + low}
-                columns["_counts"] = [counts[i].astype(np.uint16).tobytes() for i in hit]
-                columns["_offsets"] = [offsets[ends[i] - counts[i].sum() : ends[i]].tobytes() for i in hit]
-                yield pa.RecordBatch.from_pydict(columns, schema=drawn)
-
-    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    picks = pieces.repartition(tasks).mapInArrow(pick, "_first long, _seed string, _at int, _block long, _counts binary, _offsets binary")
+    session = placed.sparkSession
+    share = max(1, math.ceil(resamples * len(seeds) / (8 * session.sparkContext.defaultParallelism)))
+    starts = F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(share))
+    of = lambda seed: F.transform(starts, lambda at: F.struct(F.lit(seed).alias("_seed"), at.alias("_at")))
+    shares = F.explode(F.flatten(F.array(*[of(seed) for seed in seeds])))
+
+    block = lambda place: F.floor(place / BLOCK).cast("long")
     at = F.col("_rank") - 1
-    values = placed.select(F.floor(at / BLOCK).cast("long").alias("_block"), (at % BLOCK).cast("int").alias("_offset"), "_value", sliced.alias("_s")).select("_block", "_s.*", "_offset", "_value")
-
-    def add(key: tuple[pa.Scalar, ...], rows: pa.Table, picked: pa.Table) -> pa.Table:
-        start = key[2].as_py()
-        found = rows["_value"].combine_chunks()
-        value, there = np.zeros(BLOCK), np.zeros(BLOCK)
-        value[rows["_offset"].to_numpy()] = found.fill_null(0.0).to_numpy(zero_copy_only=False)
-        there[rows["_offset"].to_numpy()] = found.is_valid().to_numpy(zero_copy_only=False)
-        firsts, group_of = np.unique(picked["_first"].to_numpy(), return_inverse=True)
-        n = min(SLICE, resamples - start)
-        total, seen = np.zeros((len(firsts), n)), np.zeros((len(firsts), n))
-        for g, c, o in zip(group_of, picked["_counts"], picked["_offsets"], strict=True):
-            offset = np.frombuffer(o.as_buffer(), np.uint16)
-            draw = np.repeat(np.arange(n), np.frombuffer(c.as_buffer(), np.uint16))
-            total[g] += np.bincount(draw, value[offset], n)
-            seen[g] += np.bincount(draw, there[offset], n)
-        draws = np.tile(np.arange(start, start + n, dtype=np.int32), len(firsts))
-        return pa.table({"_first": np.repeat(firsts, n), "_seed": pa.array([key[1].as_py()] * len(draws), pa.string()), "draw": draws, "_total": total.ravel(), "_seen": seen.ravel().astype(np.int64)})
-
-    by = ["_block", "_seed", "_at"]
-    sums = values.groupBy(*by).cogroup(picks.groupBy(*by)).applyInArrow(add, "_first long, _seed string, draw int, _total double, _seen long")
+    packed = placed.groupBy(block(at).alias("_block")).agg(F.sort_array(F.collect_list(F.struct(at.alias("_at"), "_value"))).alias("_v")).select("_block", F.col("_v._value").alias("_values"))
+    touched = F.explode(F.sequence(block(F.col("_first")), block(F.col("_first") + F.col("_n") - 1)))
+    owners = sizes.select("_first", "_n", touched.alias("_block")).groupBy("_block").agg(F.collect_list("_first").alias("_firsts"), F.collect_list("_n").alias("_sizes"))
+    rows = packed.join(owners, "_block").select(F.floor(F.col("_block") / HELD).cast("long").alias("_held"), "*", shares.alias("_s")).select("_held", "_s.*", "_block", "_values", "_firsts", "_sizes")
+
+    drawn = pa.schema([("_first", pa.int64()), ("_seed", pa.string()), ("draw", pa.int32()), ("_total", pa.float64()), ("_seen", pa.int64())])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed, start = key[1].as_py(), key[2].as_py()
+        draws = np.arange(start, min(start + share, resamples))
+        held = pa.Table.from_batches(batches).sort_by("_block")
+        low = held["_block"][0].as_py() * BLOCK
+        found = pa.concat_arrays([c.flatten() for c in held["_values"].chunks])
+        value, there = found.fill_null(0.0).to_numpy(zero_copy_only=False), found.is_valid().to_numpy(zero_copy_only=False)
+        full = found.null_count == 0
+        firsts, one = np.unique(np.concatenate([c.flatten().to_numpy() for c in held["_firsts"].chunks]), return_index=True)
+        counts = np.concatenate([c.flatten().to_numpy() for c in held["_sizes"].chunks])[one]
+        for bunch in range(0, len(firsts), BUNCH):
+            group_of = list(zip(firsts[bunch : bunch + BUNCH].tolist(), counts[bunch : bunch + BUNCH].tolist(), strict=True))
+            total, seen = np.zeros((len(group_of), len(draws))), np.zeros((len(group_of), len(draws)), np.int64)
+            longest = max(n for _, n in group_of)
+            for slot in range(0, longest, PIECE):
+                slots = np.arange(slot, min(slot + PIECE, longest))
+                many = max(1, DRAWN // len(slots))
+                for i in range(0, len(draws), many):
+                    codes = draw_codes(seed, draws[i : i + many], slots)
+                    for g, (first, n) in enumerate(group_of):
+                        if n <= slot:
+                            continue
+                        whole = first >= low and first + n <= low + len(value)
+                        mine = codes[:, : n - slot]
+                        step = max(1, PIECE // mine.shape[1])
+                        for j in range(0, len(mine), step):
+                            part = mine[j : j + step]
+                            place = (part % np.uint32(n) if n < 2**32 else part).astype(np.int64)
+                            place += first - low
+                            into = slice(i + j, i + j + len(part))
+                            if whole:
+                                total[g, into] += value.take(place).sum(axis=1)
+                                seen[g, into] += part.shape[1] if full else there.take(place).sum(axis=1)
+                            else:
+                                inside = (place >= 0) & (place < len(value))
+                                total[g, into] += np.where(inside, value.take(place, mode="clip"), 0.0).sum(axis=1)
+                                seen[g, into] += (inside & there.take(place, mode="clip")).sum(axis=1)
+            columns = [np.repeat([first for first, _ in group_of], len(draws)), pa.array([seed] * total.size, pa.string()), np.tile(draws.astype(np.int32), len(group_of)), total.ravel(), seen.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=drawn)
+
+    by = ["_held", "_seed", "_at"]
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), len(seeds) * math.ceil(resamples / share))
+    sums = rows.repartition(tasks, *by).groupBy(*by).applyInArrow(add, "_first long, _seed string, draw int, _total double, _seen long")
     sums = sums.groupBy("_first", "_seed", "draw").agg(F.sum("_total").alias("_total"), F.sum("_seen").alias("_seen"))
     return sums.join(sizes.select(*group, "_first"), "_first").select(*group, "_seed", "draw", F.try_divide("_total", "_seen").alias("mean"))
 

@@ -218,21 +218,21 @@ def complete_cases(spark, sf_dir):
     return out.select("item", r6("user").alias("user_score"), r6("assistant").alias("assistant_score"))
 
 
-def _draws(seed: str) -> str:
-    return f"""(SELECT d.method, draw, avg(v) AS mean FROM (SELECT method, place, n, unnest(range(0, 100)) AS draw FROM p) d JOIN p ON p.method = d.method AND p.place = ('0x' || substr(md5('{seed}:' || d.draw || ':' || d.place), 1, 8))::BIGINT % d.n GROUP BY ALL)"""
+def _draws(seed: str, n: int) -> str:
+    return f"""(SELECT d.method, draw, avg(v) AS mean FROM (SELECT method, place, n, unnest(range(0, {n})) AS draw FROM p) d JOIN p ON p.method = d.method AND p.place = ('0x' || substr(md5('{seed}:' || d.draw || ':' || d.place), 1, 8))::BIGINT % d.n GROUP BY ALL)"""
 
 
 @query(f"""WITH p AS (SELECT a.method, a.score - b.score AS v, row_number() OVER (PARTITION BY a.method ORDER BY a.item) - 1 AS place, count(*) OVER (PARTITION BY a.method) AS n FROM {_ROLE} a JOIN {_ROLE} b ON a.item = b.item AND b.method = 'user' WHERE a.method <> 'user'),
- x AS (SELECT method, avg((mean <= 0)::INT::DOUBLE) AS p_value FROM {_draws('p')} GROUP BY 1), y AS (SELECT method, quantile_cont(mean, 0.025::DOUBLE) AS low, quantile_cont(mean, 0.975::DOUBLE) AS high FROM {_draws('ci')} GROUP BY 1), z AS (SELECT method, avg(v) AS mean_diff FROM p GROUP BY 1)
+ x AS (SELECT method, avg((mean <= 0)::INT::DOUBLE) AS p_value FROM {_draws('p', 2000)} GROUP BY 1), y AS (SELECT method, quantile_cont(mean, 0.025::DOUBLE) AS low, quantile_cont(mean, 0.975::DOUBLE) AS high FROM {_draws('ci', 2000)} GROUP BY 1), z AS (SELECT method, avg(v) AS mean_diff FROM p GROUP BY 1)
  SELECT method, round(mean_diff, 5) AS mean_diff, round(p_value, 5) AS p_value, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars FROM x JOIN y USING (method) JOIN z USING (method)""")
 def method_comparison(spark, sf_dir):
     """Every role against the user's, paired by conversation, with marks of significance."""
-    out = pipelines.compare_methods(_by_role(spark, sf_dir), "user", resamples=100)
+    out = pipelines.compare_methods(_by_role(spark, sf_dir), "user")
     return out.select("method", *[F.round(c, 5).alias(c) for c in ("mean_diff", "p_value", "low", "high")], metrics.stars(F.col("p_value")).alias("stars"))
 
 
 @query("""WITH u AS (SELECT event_type AS method, user_id AS item, avg(value) AS v FROM events GROUP BY ALL), p AS (SELECT method, v, row_number() OVER (PARTITION BY method ORDER BY item) - 1 AS place, count(*) OVER (PARTITION BY method) AS n FROM u)
- SELECT method AS event_type, round(quantile_cont(mean, 0.025::DOUBLE), 5) AS low, round(quantile_cont(mean, 0.975::DOUBLE), 5) AS high FROM """ + _draws("boot") + " GROUP BY 1")
+ SELECT method AS event_type, round(quantile_cont(mean, 0.025::DOUBLE), 5) AS low, round(quantile_cont(mean, 0.975::DOUBLE), 5) AS high FROM """ + _draws("boot", 100) + " GROUP BY 1")
 def bootstrap_ci(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").alias("item")).agg(F.avg("value").alias("value"))
     out = stats.bootstrap_interval(rows, ["event_type"], 100)

@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib
+import inspect
 import math
 import re
 
@@ -287,3 +288,34 @@ def test_bootstrap_shuffles_no_row_per_draw_and_keeps_no_group_in_one_task(spark
             assert got[g, d] == (pytest.approx(np.mean(drawn % 1000 - 400.5)) if len(drawn) else None)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Window \[.*\], \[g#\d+\]", plan) and not re.search(r"Join.*_?place", plan)
+
+
+@pytest.mark.parametrize("held", [stats.HELD, 1])
+def test_shares_of_draws_add_up_whatever_a_task_holds(spark, monkeypatch, held):
+    """With one block held at a time, two groups lie across held ranges; values are missing in both."""
+    monkeypatch.setattr(stats, "HELD", held)
+    monkeypatch.setattr(stats, "BLOCK", 1 << 10)
+    rows = spark.range(4000).select(F.when(F.col("id") < 2500, "a").otherwise("b").alias("g"), F.col("id").alias("item"), F.when(F.col("id") % 7 > 0, F.sqrt("id")).alias("value"))
+    got = {(r["g"], r["draw"]): r["mean"] for r in stats.resampled_means(rows, ["g"], 67).collect()}
+    assert set(got) == {(g, d) for g in "ab" for d in range(67)}
+    for g, ids in (("a", np.arange(2500)), ("b", np.arange(2500, 4000))):
+        for d in (0, 1, 33, 66):
+            drawn = ids[[int(hashlib.md5(f"boot:{d}:{j}".encode()).hexdigest()[:8], 16) % len(ids) for j in range(len(ids))]]
+            assert got[g, d] == pytest.approx(np.mean(np.sqrt(drawn[drawn % 7 > 0])))
+
+
+def test_method_comparison_draws_as_often_as_the_operator(spark):
+    """By brute force with the operator's own number of resamples."""
+    import __spark_entry__ as driver
+
+    resamples = inspect.signature(pipelines.compare_methods).parameters["resamples"].default
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").selectExpr("conv_id", "role", "length(text) AS n").toPandas()
+    scores = turns.groupby(["role", "conv_id"])["n"].mean()
+    rows = {r["method"]: r for r in driver.queries()["method_comparison"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == set(turns["role"]) - {"user"}
+    for role, row in rows.items():
+        items = scores[role].index.intersection(scores["user"].index).sort_values()
+        diff = (scores[role][items] - scores["user"][items]).to_numpy()
+        means = {s: [np.nanmean(diff[[int(hashlib.md5(f"{s}:{d}:{j}".encode()).hexdigest()[:8], 16) % len(diff) for j in range(len(diff))]]) for d in range(resamples)] for s in ("p", "ci")}
+        assert row["p_value"] == round(float(np.mean(np.array(means["p"]) <= 0)), 5)
+        assert [row["mean_diff"], row["low"], row["high"]] == pytest.approx([np.nanmean(diff), *np.percentile(means["ci"], [2.5, 97.5])], abs=1e-5)
